@@ -1,0 +1,98 @@
+"""Published result tables, rebuilt from their integer counts."""
+
+import pytest
+
+from wherescore.operators import metrics
+from wherescore.operators.score import tag_multicue
+
+# Fixed values, correct answers per model: country, region, linguistic, environmental, infrastructure, multi.
+COUNTS = {
+    "gemini-3-flash-preview": (231, 235, 69, 53, 68, 41),
+    "gemini-2.5-flash": (227, 236, 68, 51, 68, 40),
+    "claude-sonnet-4-6": (205, 221, 69, 38, 64, 34),
+    "gpt-4o-mini": (200, 220, 66, 40, 55, 39),
+    "gpt-5.4-mini": (185, 209, 67, 32, 54, 32),
+    "claude-haiku-4-5": (161, 186, 60, 27, 45, 29),
+}
+# Fixed values, published percentages: country, region, single-cue, multi-cue, then L, E, I.
+PUBLISHED = {
+    "gemini-3-flash-preview": (93.9, 95.5, 93.6, 95.3, 100.0, 81.5, 98.6),
+    "gemini-2.5-flash": (92.3, 95.9, 92.1, 93.0, 98.6, 78.5, 98.6),
+    "claude-sonnet-4-6": (83.3, 89.8, 84.2, 79.1, 100.0, 58.5, 92.8),
+    "gpt-4o-mini": (81.3, 89.4, 79.3, 90.7, 95.7, 61.5, 79.7),
+    "gpt-5.4-mini": (75.2, 85.0, 75.4, 74.4, 97.1, 49.2, 78.3),
+    "claude-haiku-4-5": (65.4, 75.6, 65.0, 67.4, 87.0, 41.5, 65.2),
+}
+CUES = ["linguistic", "environmental", "infrastructure"]
+
+
+@pytest.fixture(scope="module")
+def tagged(spark):
+    # 69 + 65 + 69 single rows, 42 marked rows, and one more row of a marked id without the mark.
+    cells = [(c, n) for c, n in zip(CUES, (69, 65, 69)) for n in range(n)]
+    annotations = [(f"{c}{i}", c, False) for c, i in cells]
+    annotations += [(f"m{i}", CUES[i % 3], True) for i in range(42)] + [("m0", "environmental", False)]
+    assert len(annotations) == 246 and len({a[0] for a in annotations}) == 245
+    rows = []
+    for model, (_, region, *hits) in COUNTS.items():
+        left = dict(zip([*CUES, "multi"], hits))
+        spare = region - sum(hits)
+        for image, cue, _ in annotations:
+            cell = "multi" if image.startswith("m") else cue
+            correct = left[cell] > 0
+            left[cell] -= correct
+            near = not correct and spare > 0
+            spare -= near
+            rows.append((model, image, cue, correct, correct or near))
+    results = spark.createDataFrame(rows, "model string, id string, cue_type string, correct boolean, region_correct boolean")
+    return tag_multicue(results, spark.createDataFrame(annotations, "id string, cue_type string, multi_cue boolean")).cache()
+
+
+@pytest.fixture(scope="module", params=["rows", "cells"])
+def table(request, tagged):
+    return tagged if request.param == "rows" else metrics.cells(tagged)
+
+
+def shares(row):
+    return tuple(round(100 * v, 1) for v in row)
+
+
+def test_summary(table):
+    for r in metrics.model_summary(table).collect():
+        assert shares(r[1:5]) == PUBLISHED[r.model][:4]
+        assert r.n_images == 246
+
+
+def test_model_cue(table):
+    rows = metrics.accuracy_by_model_and_cue(table).collect()
+    assert [r.model for r in rows][0] == "gemini-3-flash-preview"
+    for r in rows:
+        assert shares(r[1:4]) == PUBLISHED[r.model][4:]
+        assert round(100 * r.overall, 1) == PUBLISHED[r.model][2]
+
+
+def test_all_models_row(table):
+    last = metrics.model_cue_rollup(table).collect()[-1]
+    assert last.model == metrics.ALL_MODELS
+    assert shares(last[1:5]) == (96.4, 61.8, 85.5, 81.6)
+
+
+def test_single_tables(table):
+    by_model = {r.model: (round(100 * r.accuracy, 1), r.n_images) for r in metrics.accuracy_by_model(table).collect()}
+    assert by_model == {m: (p[0], 246) for m, p in PUBLISHED.items()}
+    region = {r.model: round(100 * r.region_accuracy, 1) for r in metrics.region_accuracy_by_model(table).collect()}
+    assert region == {m: p[1] for m, p in PUBLISHED.items()}
+    cue = {r.cue_type: (round(100 * r.accuracy, 1), r.n_images) for r in metrics.accuracy_by_cue(table).collect()}
+    assert cue == {"linguistic": (96.4, 414), "environmental": (61.8, 390), "infrastructure": (85.5, 414)}
+    multi = {(r.model, r.subset): r.n_images for r in metrics.accuracy_multicue(table).collect()}
+    assert set(multi.values()) == {43, 203} and len(multi) == 12
+
+
+def test_gaps(table):
+    gaps = {r.model: r for r in metrics.accuracy_gaps(table).collect()}
+    assert round(min(g.region_gap_pp for g in gaps.values()), 1) == 1.6
+    assert round(max(g.region_gap_pp for g in gaps.values()), 1) == 10.2
+    assert round(gaps["gpt-4o-mini"].multi_gap_pp, 1) == 11.4
+    spread = {r.cue_type: r.spread_pp for r in metrics.cue_spread(table).collect()}
+    assert round(spread["infrastructure"], 1) == 33.3
+    assert round(spread["environmental"]) == 40

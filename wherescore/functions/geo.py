@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,20 +49,19 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2.0 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1.0 - a)))
 
 
-def box_min_m(lat, lon, south, north, west, east) -> Column:
-    """Smallest distance from a point to a latitude/longitude box that spans less than a quarter turn.
+def pixel_x(lon, x, zoom: int = ZOOM) -> Column:
+    """Pixel column of a longitude, counted from the left edge of a tile."""
+    return ((_col(lon) + 180.0) / 360.0 * F.lit(float(2**zoom)) - _col(x)) * F.lit(float(EXTENT))
+
 
-    At a fixed longitude difference the nearest point of a meridian has latitude
-    atan(tan(lat) / cos(difference)); clamping it to the box gives the exact minimum.
-    """
-    lat, lon, south, north, west, east = map(_col, (lat, lon, south, north, west, east))
-    gap = F.greatest(west - lon, lon - east, F.lit(0.0))
-    nearest = F.degrees(F.atan(F.tan(F.radians(lat)) / F.cos(F.radians(gap))))
-    return haversine_m(lat, F.lit(0.0), F.least(F.greatest(nearest, south), north), gap)
+def pixel_y(lat, y, zoom: int = ZOOM) -> Column:
+    """Pixel row of a latitude, counted from the top edge of a tile."""
+    phi = F.radians(_col(lat))
+    mercator = F.ln(F.tan(phi) + 1.0 / F.cos(phi))
+    return ((1.0 - mercator / F.pi()) / 2.0 * F.lit(float(2**zoom)) - _col(y)) * F.lit(float(EXTENT))
 
 
-def box_max_m(lat, lon, south, north, west, east) -> Column:
-    """Largest distance from a point to such a box; it is taken at a corner."""
-    lat, lon, south, north, west, east = map(_col, (lat, lon, south, north, west, east))
-    gap = F.greatest(F.abs(lon - west), F.abs(lon - east))
-    return F.greatest(haversine_m(lat, F.lit(0.0), south, gap), haversine_m(lat, F.lit(0.0), north, gap))
+def metres_per_pixel(lat, zoom: int = ZOOM) -> Column:
+    """Length of a pixel at a latitude; the projection has the same scale in both directions."""
+    whole = 2.0 * math.pi * EARTH_RADIUS_M / (2**zoom * EXTENT)
+    return F.cos(F.radians(_col(lat))) * F.lit(whole)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wherescore.functions import geo
 from wherescore.operators.joins import spread_join
 
-# Added to the distance bounds of a cell; far above the rounding error of a distance.
-_SLACK_M = 1e-3
+# Factor on squared distance bounds; far above rounding and the bulge of a great circle.
+_MARGIN = 1.0001
 
 
 def point_features(features: DataFrame) -> DataFrame:
@@ -56,67 +56,76 @@ def _with_cell(points: DataFrame, grid: int) -> DataFrame:
     )
 
 
-def _tile_cells(points: DataFrame, grid: int, zoom: int) -> DataFrame:
-    """Per tile, its occupied cells with feature count and bounds; at most one entry per grid cell."""
-    size = float(geo.EXTENT) / grid
-
-    def edge(cell: str, step: int) -> Column:
-        return (F.col(cell) + F.lit(step)) * F.lit(size)
-
+def _tile_cells(points: DataFrame) -> DataFrame:
+    """Per tile, its occupied cells with their feature count; at most one entry per grid cell."""
     counts = points.groupBy("tile_x", "tile_y", "cell_x", "cell_y").agg(F.count("*").alias("n"))
-    bounds = F.struct(
-        "cell_x",
-        "cell_y",
-        "n",
-        geo.tile_lat("tile_y", edge("cell_y", 1), zoom).alias("south"),
-        geo.tile_lat("tile_y", edge("cell_y", 0), zoom).alias("north"),
-        geo.tile_lon("tile_x", edge("cell_x", 0), zoom).alias("west"),
-        geo.tile_lon("tile_x", edge("cell_x", 1), zoom).alias("east"),
+    return counts.groupBy("tile_x", "tile_y").agg(
+        F.collect_list(F.struct("cell_x", "cell_y", "n")).alias("cells")
     )
-    return counts.groupBy("tile_x", "tile_y").agg(F.collect_list(bounds).alias("cells"))
 
 
-def _cells_to_search(radius_m: float, limit: int) -> tuple[Column, Column]:
-    """Cells of the tile by largest distance, and the distance that bounds the search.
+def _cells_to_search(targets: DataFrame, radius_m: float, limit: int, grid: int, zoom: int) -> DataFrame:
+    """One row per target and cell that can hold one of its ``limit`` nearest features in the radius.
 
-    Cells are taken in the order of their largest distance until they hold ``limit`` features; no
-    feature farther than that distance can be among the nearest, so cells that begin beyond it, or
-    beyond the radius, are left out.
+    Cells in reach are taken in the order of their farthest corner until they hold ``limit`` features;
+    no feature beyond that corner can be among the nearest, so cells that begin beyond it are left out.
+    Distances are compared in pixels: the length of a pixel lies between ``_low`` and ``_high`` metres
+    everywhere between the target and the tile, and ``_MARGIN`` covers paths that leave that band.
     """
-    reach_lat = F.degrees(F.lit(radius_m / geo.EARTH_RADIUS_M)) * 1.001
-    reach_lon = reach_lat / F.greatest(F.cos(F.radians(F.abs(F.col("lat")) + reach_lat)), F.lit(1e-6))
-
-    def in_reach(c: Column) -> Column:
-        return (
-            (c["south"] <= F.col("lat") + reach_lat)
-            & (c["north"] >= F.col("lat") - reach_lat)
-            & (c["west"] <= F.col("lon") + reach_lon)
-            & (c["east"] >= F.col("lon") - reach_lon)
-        )
+    size = float(geo.EXTENT) / grid
+    low_edge = geo.tile_lat("tile_y", F.lit(2.0 * geo.EXTENT), zoom)
+    high_edge = geo.tile_lat("tile_y", F.lit(-1.0 * geo.EXTENT), zoom)
+    scales = [geo.metres_per_pixel(c, zoom) for c in ("lat", low_edge, high_edge)]
+    # The band crosses the equator, where a pixel is longest, if its edges differ in sign.
+    equator = F.when(low_edge * high_edge < 0, geo.metres_per_pixel(F.lit(0.0), zoom)).otherwise(F.lit(0.0))
+    placed = targets.withColumns(
+        {
+            "_px": geo.pixel_x("lon", "tile_x", zoom),
+            "_py": geo.pixel_y("lat", "tile_y", zoom),
+            "_low": F.least(*scales),
+            "_high": F.greatest(*scales, equator),
+        }
+    )
+
+    def edges(cell: Column, at: Column) -> tuple[Column, Column]:
+        left, right = cell * size - at, (cell + 1) * size - at
+        gap = F.greatest(left, -right, F.lit(0.0))
+        span = F.greatest(F.abs(left), F.abs(right))
+        return gap * gap, span * span
 
     def bounded(c: Column) -> Column:
-        box = ("lat", "lon", c["south"], c["north"], c["west"], c["east"])
+        near_x, far_x = edges(c["cell_x"], F.col("_px"))
+        near_y, far_y = edges(c["cell_y"], F.col("_py"))
+        # Cells beyond the neighbour tiles lie outside the band of pixel lengths: always searched.
+        in_band = c["cell_y"].between(-grid, 2 * grid - 1)
         return F.struct(
-            (geo.box_max_m(*box) + _SLACK_M).alias("far"),
-            (geo.box_min_m(*box) - _SLACK_M).alias("near"),
+            F.when(in_band, far_x + far_y).otherwise(F.lit(float("inf"))).alias("far"),
+            F.when(in_band, near_x + near_y).otherwise(F.lit(0.0)).alias("near"),
             c["n"].alias("n"),
             c["cell_x"].alias("cell_x"),
             c["cell_y"].alias("cell_y"),
         )
 
-    by_far = F.array_sort(F.transform(F.filter("cells", in_reach), bounded))
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(float(radius_m)).alias("reach"))
-
     def take(acc: Column, c: Column) -> Column:
-        total = acc["seen"] + c["n"]
-        hit = (acc["seen"] < limit) & (total >= limit)
         return F.struct(
-            total.alias("seen"),
-            F.when(hit, F.least(acc["reach"], c["far"])).otherwise(acc["reach"]).alias("reach"),
+            (acc["seen"] + c["n"]).alias("seen"),
+            F.when(acc["seen"] < limit, c["far"]).otherwise(acc["far"]).alias("far"),
         )
 
-    reach = F.aggregate("by_far", start, take, lambda acc: acc["reach"])
-    return by_far, reach
+    def reach(acc: Column) -> Column:
+        return F.when(acc["seen"] >= limit, acc["far"])
+
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("far"))
+    in_radius = F.pow(F.lit(radius_m) / F.col("_low"), 2) * _MARGIN
+    ratio = F.pow(F.col("_high") / F.col("_low"), 2) * _MARGIN
+    return (
+        placed.withColumn("_radius", in_radius)
+        .withColumn("_cells", F.filter(F.transform("cells", bounded), lambda c: c["near"] <= F.col("_radius")))
+        .withColumn("_cells", F.array_sort("_cells"))
+        .withColumn("_reach", F.least("_radius", F.aggregate("_cells", start, take, reach) * ratio))
+        .withColumn("_cell", F.explode(F.filter("_cells", lambda c: c["near"] <= F.col("_reach"))))
+        .select("ord", "lat", "lon", "tile_x", "tile_y", "_cell.cell_x", "_cell.cell_y")
+    )
 
 
 def nearby_topk(
@@ -125,7 +134,7 @@ def nearby_topk(
     radius_m: float = 500.0,
     limit: int = 5,
     neighbors: bool = False,
-    grid: int = 32,
+    grid: int = 16,
     zoom: int = geo.ZOOM,
 ) -> DataFrame:
     """The ``limit`` nearest point features of each coordinate within the radius, ranked from 1.
@@ -150,14 +159,9 @@ def nearby_topk(
             {"tile_x": F.col("tile_x") + F.col("_dx"), "tile_y": F.col("tile_y") + F.col("_dy")}
         ).drop("_dx", "_dy")
 
-    by_far, reach = _cells_to_search(radius_m, limit)
     tile = ["tile_x", "tile_y"]
-    searched = (
-        spread_join(targets, _tile_cells(points, grid, zoom), tile, "inner")
-        .withColumn("by_far", by_far)
-        .withColumn("reach", reach)
-        .select("ord", "lat", "lon", *tile, F.explode(F.filter("by_far", lambda c: c["near"] <= F.col("reach"))))
-        .select("ord", "lat", "lon", *tile, F.col("col.cell_x"), F.col("col.cell_y"))
+    searched = _cells_to_search(
+        spread_join(targets, _tile_cells(points), tile, "inner"), radius_m, limit, grid, zoom
     )
 
     found = locate_features(

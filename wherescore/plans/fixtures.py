@@ -55,6 +55,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows over all cores if the files have fewer splits; a file with one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def country_dim(spark: SparkSession, prefix: str = "") -> DataFrame:
     columns = list(zip(*COUNTRIES))
     names = ["country", "region", "variant"]
@@ -68,7 +74,7 @@ def country_dim(spark: SparkSession, prefix: str = "") -> DataFrame:
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the country of their customer and the annotation columns."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = spread_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     key = F.col("o_orderkey").cast("string")
     multi = F.col("o_orderpriority") == "1-URGENT"

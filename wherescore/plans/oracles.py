@@ -249,7 +249,7 @@ SELECT model_key, CAST(coalesce(cost_per_item, 0.02) AS DOUBLE) AS cost_per_item
         "running_accuracy": f"""WITH {RESULTS}, so_far AS (
 SELECT DISTINCT model, ord, count(*) OVER w AS processed, CAST(sum(CAST(correct AS INTEGER)) OVER w AS BIGINT) AS correct
 FROM results WINDOW w AS (PARTITION BY model ORDER BY ord))
-SELECT *, round(CAST(correct AS DOUBLE) / processed, 6) AS running_accuracy FROM so_far""",
+SELECT *, CAST(correct AS DOUBLE) / processed AS running_accuracy FROM so_far""",
         "batch_responses": f"""WITH {ANNOTATIONS} SELECT id, country,
  CASE WHEN ord % 10 <> 3 THEN 'COUNTRY: ' || country END AS raw_response,
  CASE WHEN ord % 10 <> 3 THEN 'ok' ELSE 'failed' END AS status FROM annotations""",

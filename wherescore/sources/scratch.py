@@ -23,6 +23,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and read them from there from now on."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to a table in the checkpoint folder and read them from there from now on.
+
+    Cuts the lineage like a checkpoint, survives lost executors, and gives later joins the true size
+    and later scans only the columns they need.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
