@@ -35,6 +35,15 @@ def _file_order() -> list[Column]:
     ]
 
 
+def _row_order() -> Column:
+    """The same order as one sortable text."""
+    file, start, row = _file_order()
+    width = F.lit(20)
+    return F.concat_ws(
+        "/", file, F.lpad(start.cast("string"), width, F.lit("0")), F.lpad(row.cast("string"), width, F.lit("0"))
+    )
+
+
 def _truth(column: str) -> Column:
     """Flag from text: a number is true unless it is zero."""
     value = F.col(column)
@@ -49,7 +58,7 @@ def read_annotations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
     else:
         as_text = T.StructType([T.StructField(c, T.StringType()) for c in ANNOTATION_COLUMNS])
         table = spark.read.schema(as_text).options(**_CSV_READ).csv(path)
-    ordered = table.select("*", F.struct(*_file_order()).alias("ord"))
+    ordered = table.select("*", _row_order().alias("ord"))
     return ordered.withColumn("multi_cue", text.parse_bool("multi_cue"))
 
 
@@ -160,7 +169,7 @@ def read_coords(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.options(**_CSV_READ).csv(path)
     if "ord" in table.columns:
         return checked_coords(table).withColumn("ord", F.col("ord").cast("bigint"))
-    return checked_coords(table.select("*", F.struct(*_file_order()).alias("ord")))
+    return checked_coords(table.select("*", _row_order().alias("ord")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
