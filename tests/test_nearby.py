@@ -84,17 +84,36 @@ def test_nearest_equals_brute_force(spark, lat, lon, clustered, neighbors):
         assert found == brute(coords, features, radius, limit, neighbors)
 
 
+def metric_rows(plan, kind):
+    """Output row counts of the executed operators of a kind."""
+    out, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        else:
+            rows = node.metrics().get("numOutputRows")
+            if kind in name and rows.isDefined():
+                out.append(rows.get().value())
+            children = node.children()
+            waiting += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def test_search_pairs_stay_few(spark):
     """In a dense tile each coordinate is compared with a small part of the features."""
     rng = random.Random(1)
     tx, ty = tile_of(52.5, 13.4)
     features = [(i, tx, ty, "Point", [float(rng.randrange(4096)), float(rng.randrange(4096))], f"i{i}") for i in range(5000)]
     coords = [(i, *place(tx, ty, rng.uniform(0, 4096), rng.uniform(0, 4096)), "Japan", "r") for i in range(50)]
-    points = nearby._with_cell(nearby.point_features(spark.createDataFrame(features, FEATURES)), 16)
-    targets = nearby.with_tile(spark.createDataFrame(coords, COORDS).select("ord", "lat", "lon"))
-    tile = ["tile_x", "tile_y"]
-    cells = nearby._cells_to_search(targets.join(nearby._tile_cells(points), tile), 500.0, 5, 16, 14)
-    pairs = cells.join(points, [*tile, "cell_x", "cell_y"]).count()
+    frames = spark.createDataFrame(coords, COORDS), spark.createDataFrame(features, FEATURES)
+    found = nearby.nearby_topk(*frames, 500.0, 5)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    pairs = max(metric_rows(plan, "Join"))
     assert pairs < 50 * 5000 / 20
 
 

@@ -10,6 +10,7 @@ from wherescore.operators.joins import spread_join
 
 # Factor on squared distance bounds; far above rounding and the bulge of a great circle.
 _MARGIN = 1.0001
+_TILE = ["tile_x", "tile_y"]
 
 
 def point_features(features: DataFrame) -> DataFrame:
@@ -56,75 +57,91 @@ def _with_cell(points: DataFrame, grid: int) -> DataFrame:
     )
 
 
+def _in_band(cell_y: Column, grid: int) -> Column:
+    """Is a cell within the tile or its neighbours? Others are always searched."""
+    return cell_y.between(-grid, 2 * grid - 1)
+
+
 def _tile_cells(points: DataFrame) -> DataFrame:
-    """Per tile, its occupied cells with their feature count; at most one entry per grid cell."""
-    counts = points.groupBy("tile_x", "tile_y", "cell_x", "cell_y").agg(F.count("*").alias("n"))
-    return counts.groupBy("tile_x", "tile_y").agg(
+    """Per tile, its occupied cells with their feature count; at most one entry per grid cell.
+
+    Counting ids keeps the columns of the features alike in both of their uses, so that Spark shuffles
+    them once.
+    """
+    counts = points.groupBy(*_TILE, "cell_x", "cell_y").agg(F.count("id").alias("n"))
+    return counts.groupBy(*_TILE).agg(
         F.collect_list(F.struct("cell_x", "cell_y", "n")).alias("cells")
     )
 
 
-def _cells_to_search(targets: DataFrame, radius_m: float, limit: int, grid: int, zoom: int) -> DataFrame:
-    """One row per target and cell that can hold one of its ``limit`` nearest features in the radius.
+def _search_plan(places: DataFrame, tile_cells: DataFrame, radius_m: float, limit: int, grid: int, zoom: int) -> DataFrame:
+    """For each grid cell that holds targets, the cells where their ``limit`` nearest features can be.
 
-    Cells in reach are taken in the order of their farthest corner until they hold ``limit`` features;
-    no feature beyond that corner can be among the nearest, so cells that begin beyond it are left out.
-    Distances are compared in pixels: the length of a pixel lies between ``_low`` and ``_high`` metres
-    everywhere between the target and the tile, and ``_MARGIN`` covers paths that leave that band.
+    ``places`` has the distinct (tile_x, tile_y, at_x, at_y) of the targets, so this work is done once
+    per cell and not once per target. Distances between cells are whole numbers of cells. Cells are
+    taken in the order of their largest distance until they hold ``limit`` features; none beyond that
+    distance can be among the nearest. ``reach`` is its square in pixels, at most the radius.
+
+    A pixel has between ``low`` and ``high`` metres everywhere in the tile and its neighbours, and
+    ``_MARGIN`` covers paths that leave that band.
     """
     size = float(geo.EXTENT) / grid
-    low_edge = geo.tile_lat("tile_y", F.lit(2.0 * geo.EXTENT), zoom)
-    high_edge = geo.tile_lat("tile_y", F.lit(-1.0 * geo.EXTENT), zoom)
-    scales = [geo.metres_per_pixel(c, zoom) for c in ("lat", low_edge, high_edge)]
-    # The band crosses the equator, where a pixel is longest, if its edges differ in sign.
-    equator = F.when(low_edge * high_edge < 0, geo.metres_per_pixel(F.lit(0.0), zoom)).otherwise(F.lit(0.0))
-    placed = targets.withColumns(
-        {
-            "_px": geo.pixel_x("lon", "tile_x", zoom),
-            "_py": geo.pixel_y("lat", "tile_y", zoom),
-            "_low": F.least(*scales),
-            "_high": F.greatest(*scales, equator),
-        }
+    south = geo.tile_lat("tile_y", F.lit(2.0 * geo.EXTENT), zoom)
+    north = geo.tile_lat("tile_y", F.lit(-1.0 * geo.EXTENT), zoom)
+    scales = [geo.metres_per_pixel(edge, zoom) for edge in (south, north)]
+    # A band across the equator holds the longest pixel inside.
+    equator = F.when(south * north < 0, geo.metres_per_pixel(F.lit(0.0), zoom)).otherwise(F.lit(0.0))
+    low, high = F.least(*scales), F.greatest(*scales, equator)
+    # Each step works on the one element of an array, so its inputs are values of a lambda variable.
+    # As columns they would be substituted into the lambdas and computed again for every cell.
+    start = F.struct(
+        (F.pow(F.lit(radius_m) / (low * size), 2) * _MARGIN).alias("radius"),
+        (F.pow(high / low, 2) * _MARGIN).alias("ratio"),
     )
 
-    def edges(cell: Column, at: Column) -> tuple[Column, Column]:
-        left, right = cell * size - at, (cell + 1) * size - at
-        gap = F.greatest(left, -right, F.lit(0.0))
-        span = F.greatest(F.abs(left), F.abs(right))
-        return gap * gap, span * span
-
     def bounded(c: Column) -> Column:
-        near_x, far_x = edges(c["cell_x"], F.col("_px"))
-        near_y, far_y = edges(c["cell_y"], F.col("_py"))
-        # Cells beyond the neighbour tiles lie outside the band of pixel lengths: always searched.
-        in_band = c["cell_y"].between(-grid, 2 * grid - 1)
+        dx, dy = F.abs(c["cell_x"] - F.col("at_x")), F.abs(c["cell_y"] - F.col("at_y"))
+        near_x, near_y = F.greatest(dx - 1, F.lit(0)), F.greatest(dy - 1, F.lit(0))
+        far = ((dx + 1) * (dx + 1) + (dy + 1) * (dy + 1)).cast("double")
+        near = (near_x * near_x + near_y * near_y).cast("double")
         return F.struct(
-            F.when(in_band, far_x + far_y).otherwise(F.lit(float("inf"))).alias("far"),
-            F.when(in_band, near_x + near_y).otherwise(F.lit(0.0)).alias("near"),
+            F.when(_in_band(c["cell_y"], grid), far).otherwise(F.lit(float("inf"))).alias("far"),
+            F.when(_in_band(c["cell_y"], grid), near).otherwise(F.lit(0.0)).alias("near"),
             c["n"].alias("n"),
             c["cell_x"].alias("cell_x"),
             c["cell_y"].alias("cell_y"),
         )
 
-    def take(acc: Column, c: Column) -> Column:
+    def in_radius(at: Column) -> Column:
+        boxes = F.filter(F.transform("cells", bounded), lambda b: b["near"] <= at["radius"])
+        return F.struct(at.alias("at"), F.sort_array(boxes).alias("boxes"))
+
+    def take(acc: Column, b: Column) -> Column:
         return F.struct(
-            (acc["seen"] + c["n"]).alias("seen"),
-            F.when(acc["seen"] < limit, c["far"]).otherwise(acc["far"]).alias("far"),
+            (acc["seen"] + b["n"]).alias("seen"),
+            F.when(acc["seen"] < limit, b["far"]).otherwise(acc["far"]).alias("far"),
         )
 
-    def reach(acc: Column) -> Column:
-        return F.when(acc["seen"] >= limit, acc["far"])
+    def with_reach(s: Column) -> Column:
+        none = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("far"))
+        held = F.aggregate(s["boxes"], none, take, lambda acc: F.when(acc["seen"] >= limit, acc["far"]))
+        reach = F.least(s["at"]["radius"], held * s["at"]["ratio"])
+        return F.struct(reach.alias("reach"), s["boxes"].alias("boxes"))
+
+    def searched(s: Column) -> Column:
+        return F.transform(
+            F.filter(s["boxes"], lambda b: b["near"] <= s["reach"]),
+            lambda b: F.struct(
+                b["cell_x"].alias("cell_x"),
+                b["cell_y"].alias("cell_y"),
+                (s["reach"] * (size * size)).alias("reach"),
+            ),
+        )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("far"))
-    in_radius = F.pow(F.lit(radius_m) / F.col("_low"), 2) * _MARGIN
-    ratio = F.pow(F.col("_high") / F.col("_low"), 2) * _MARGIN
-    return (
-        placed.withColumn("_radius", in_radius)
-        .withColumn("_cells", F.filter(F.transform("cells", bounded), lambda c: c["near"] <= F.col("_radius")))
-        .withColumn("_cells", F.array_sort("_cells"))
-        .withColumn("_reach", F.least("_radius", F.aggregate("_cells", start, take, reach) * ratio))
-        .withColumn("_cell", F.explode(F.filter("_cells", lambda c: c["near"] <= F.col("_reach"))))
-        .select("ord", "lat", "lon", "tile_x", "tile_y", "_cell.cell_x", "_cell.cell_y")
+    chosen = F.flatten(F.transform(F.transform(F.transform(F.array(start), in_radius), with_reach), searched))
+    joined = spread_join(places, tile_cells, _TILE, "inner")
+    return joined.select(*_TILE, "at_x", "at_y", F.explode(chosen).alias("_cell")).select(
+        *_TILE, "at_x", "at_y", "_cell.*"
     )
 
 
@@ -159,22 +176,34 @@ def nearby_topk(
             {"tile_x": F.col("tile_x") + F.col("_dx"), "tile_y": F.col("tile_y") + F.col("_dy")}
         ).drop("_dx", "_dy")
 
-    tile = ["tile_x", "tile_y"]
-    searched = _cells_to_search(
-        spread_join(targets, _tile_cells(points), tile, "inner"), radius_m, limit, grid, zoom
+    size = float(geo.EXTENT) / grid
+    targets = targets.withColumns({"x": geo.pixel_x("lon", "tile_x", zoom), "y": geo.pixel_y("lat", "tile_y", zoom)})
+    targets = targets.withColumns(
+        {"at_x": F.floor(F.col("x") / size).cast("int"), "at_y": F.floor(F.col("y") / size).cast("int")}
     )
-
-    found = locate_features(
-        spread_join(
-            searched,
-            points.select(*tile, "cell_x", "cell_y", "px", "py", "feature_pos", "id"),
-            [*tile, "cell_x", "cell_y"],
-            "inner",
-        ),
-        zoom,
+    at = [*_TILE, "at_x", "at_y"]
+    plan = _search_plan(targets.select(*at).distinct(), _tile_cells(points), radius_m, limit, grid, zoom)
+
+    def gap(cell: str, place: str) -> Column:
+        """Distance in pixels from a place to a cell, along one axis."""
+        left = F.col(cell) * size - F.col(place)
+        return F.greatest(left, -left - size, F.lit(0.0))
+
+    gap_x, gap_y = gap("cell_x", "x"), gap("cell_y", "y")
+    outside = ~_in_band(F.col("cell_y"), grid)
+    searched = spread_join(targets, plan, at, "inner").where(
+        outside | (gap_x * gap_x + gap_y * gap_y <= F.col("reach"))
+    )
+    located = locate_features(points, zoom).select(
+        *_TILE, "cell_x", "cell_y", "px", "py", "feature_pos", "id", "feature_lat", "feature_lon"
+    )
+    pairs = spread_join(searched.drop("at_x", "at_y"), located, [*_TILE, "cell_x", "cell_y"], "inner")
+    # The distance in pixels is cheap and leaves few pairs for the distance in metres.
+    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+    found = pairs.where(outside | (dx * dx + dy * dy <= F.col("reach"))).withColumn(
+        "distance_m", geo.haversine_m("lat", "lon", "feature_lat", "feature_lon")
     )
-    found = found.withColumn("distance_m", geo.haversine_m("lat", "lon", "feature_lat", "feature_lon"))
-    nearest = Window.partitionBy("ord").orderBy("distance_m", "feature_pos", *tile)
+    nearest = Window.partitionBy("ord").orderBy("distance_m", "feature_pos", *_TILE)
     return (
         found.where(F.col("distance_m") <= radius_m)
         .withColumn("rank", F.row_number().over(nearest))
@@ -186,7 +215,7 @@ def nearby_topk(
             F.col("feature_lat").alias("lat"),
             F.col("feature_lon").alias("lon"),
             "distance_m",
-            *tile,
+            *_TILE,
         )
     )
 

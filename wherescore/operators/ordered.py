@@ -18,9 +18,9 @@ _AGGREGATES = {"sum": F.sum, "max": F.max}
 
 
 def block_of(order, span: int = BLOCK_SPAN) -> Column:
-    """Block number of an integer row position; a block has at most ``span`` positions."""
+    """First position of the block of an integer row position; a block has at most ``span`` positions."""
     position = F.col(order) if isinstance(order, str) else order
-    return F.floor(position / F.lit(span)).cast("bigint")
+    return position - F.pmod(position, F.lit(span))
 
 
 def running(
