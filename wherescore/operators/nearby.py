@@ -11,6 +11,13 @@ from wherescore.operators.joins import spread_join
 # Factor on squared distance bounds; far above rounding and the bulge of a great circle.
 _MARGIN = 1.0001
 _TILE = ["tile_x", "tile_y"]
+# Cells have 64 pixels; a cell of level s is 2**s cells wide, so level 6 is a tile.
+_CELL = 64
+_LEVELS = range(7)
+# Wider than all pixels that are kept: for targets without enough features around them.
+_TOP = 10
+# Tiles to each side of a tile whose pixel lengths are covered by the distance bounds.
+_BAND = 8
 
 
 def point_features(features: DataFrame) -> DataFrame:
@@ -47,101 +54,83 @@ def locate_features(points: DataFrame, zoom: int = geo.ZOOM) -> DataFrame:
     )
 
 
-def _with_cell(points: DataFrame, grid: int) -> DataFrame:
-    per_pixel = float(grid) / geo.EXTENT
-    return points.withColumns(
-        {
-            "cell_x": F.floor(F.col("px") * per_pixel).cast("int"),
-            "cell_y": F.floor(F.col("py") * per_pixel).cast("int"),
-        }
-    )
+def _in_band(pixel: str) -> Column:
+    return F.col(pixel).between(-_BAND * geo.EXTENT, (_BAND + 1) * geo.EXTENT - 1)
 
 
-def _in_band(cell_y: Column, grid: int) -> Column:
-    """Is a cell within the tile or its neighbours? Others are always searched."""
-    return cell_y.between(-grid, 2 * grid - 1)
+def _cell(pixel: str) -> Column:
+    return F.floor(F.col(pixel) / F.lit(float(_CELL))).cast("int")
 
 
-def _tile_cells(points: DataFrame) -> DataFrame:
-    """Per tile, its occupied cells with their feature count; at most one entry per grid cell.
+def _coarse(cell: str) -> Column:
+    """Cell of level ``s`` around a cell."""
+    return F.expr(f"shiftright({cell}, s)")
 
-    Counting ids keeps the columns of the features alike in both of their uses, so that Spark shuffles
-    them once.
-    """
-    counts = points.groupBy(*_TILE, "cell_x", "cell_y").agg(F.count("id").alias("n"))
-    return counts.groupBy(*_TILE).agg(
-        F.collect_list(F.struct("cell_x", "cell_y", "n")).alias("cells")
-    )
 
-
-def _search_plan(places: DataFrame, tile_cells: DataFrame, radius_m: float, limit: int, grid: int, zoom: int) -> DataFrame:
-    """For each grid cell that holds targets, the cells where their ``limit`` nearest features can be.
+def _search_plan(places: DataFrame, points: DataFrame, radius_m: float, limit: int, zoom: int) -> DataFrame:
+    """For each cell that holds targets, the cells where their ``limit`` nearest features can be.
 
     ``places`` has the distinct (tile_x, tile_y, at_x, at_y) of the targets, so this work is done once
-    per cell and not once per target. Distances between cells are whole numbers of cells. Cells are
-    taken in the order of their largest distance until they hold ``limit`` features; none beyond that
-    distance can be among the nearest. ``reach`` is its square in pixels, at most the radius.
+    per cell and not once per target. The smallest cell of any level around a place that holds
+    ``limit`` features bounds the search: they are no farther from any target in it than its diagonal.
+    ``reach`` is the square of that distance in pixels, or of the radius if that is less. What lies
+    within it is in the cells of that level at most two steps away.
 
-    A pixel has between ``low`` and ``high`` metres everywhere in the tile and its neighbours, and
-    ``_MARGIN`` covers paths that leave that band.
+    A pixel has between ``low`` and ``high`` metres everywhere in the band around the tile, and
+    ``_MARGIN`` covers paths that leave it.
     """
-    size = float(geo.EXTENT) / grid
-    south = geo.tile_lat("tile_y", F.lit(2.0 * geo.EXTENT), zoom)
-    north = geo.tile_lat("tile_y", F.lit(-1.0 * geo.EXTENT), zoom)
+    levels = F.explode(F.array(*[F.lit(s) for s in _LEVELS])).alias("s")
+    all_levels = F.explode(F.array(*[F.lit(s) for s in (*_LEVELS, _TOP)])).alias("s")
+    # Counting ids keeps the columns of the features alike in both of their uses, so that Spark
+    # shuffles them once.
+    counts = points.groupBy(*_TILE, "cell_x", "cell_y").agg(F.count("id").alias("n"))
+    held = (
+        counts.select("*", levels)
+        .groupBy(*_TILE, "s", _coarse("cell_x").alias("u"), _coarse("cell_y").alias("v"))
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= limit)
+        .drop("n")
+    )
+    at = [*_TILE, "at_x", "at_y"]
+    around = places.select("*", levels).withColumns({"u": _coarse("at_x"), "v": _coarse("at_y")})
+    bounded = (
+        spread_join(around, held.withColumn("_held", F.col("s")), [*_TILE, "s", "u", "v"], "left")
+        .groupBy(*at)
+        .agg(F.min("_held").alias("s"))
+    )
+
+    south = geo.tile_lat("tile_y", F.lit(float((_BAND + 1) * geo.EXTENT)), zoom)
+    north = geo.tile_lat("tile_y", F.lit(float(-_BAND * geo.EXTENT)), zoom)
     scales = [geo.metres_per_pixel(edge, zoom) for edge in (south, north)]
     # A band across the equator holds the longest pixel inside.
     equator = F.when(south * north < 0, geo.metres_per_pixel(F.lit(0.0), zoom)).otherwise(F.lit(0.0))
     low, high = F.least(*scales), F.greatest(*scales, equator)
-    # Each step works on the one element of an array, so its inputs are values of a lambda variable.
-    # As columns they would be substituted into the lambdas and computed again for every cell.
-    start = F.struct(
-        (F.pow(F.lit(radius_m) / (low * size), 2) * _MARGIN).alias("radius"),
-        (F.pow(high / low, 2) * _MARGIN).alias("ratio"),
+    side = F.pow(F.lit(2.0), F.col("s")) * _CELL
+    reach = F.least(
+        F.pow(F.lit(radius_m) / low, 2) * _MARGIN,
+        F.when(F.col("s").isNotNull(), side * side * 2 * F.pow(high / low, 2) * _MARGIN),
+    )
+    steps = F.array(*[F.lit(i) for i in range(-2, 3)])
+    asked = (
+        bounded.withColumn("reach", reach)
+        .withColumn("s", F.coalesce("s", F.lit(_TOP)))
+        .withColumn("du", F.explode(steps))
+        .withColumn("dv", F.explode(steps))
+        .select(*at, "reach", "s", (_coarse("at_x") + F.col("du")).alias("u"), (_coarse("at_y") + F.col("dv")).alias("v"))
+    )
+    occupied = counts.select(*_TILE, "cell_x", "cell_y", all_levels).withColumns(
+        {"u": _coarse("cell_x"), "v": _coarse("cell_y")}
     )
 
-    def bounded(c: Column) -> Column:
-        dx, dy = F.abs(c["cell_x"] - F.col("at_x")), F.abs(c["cell_y"] - F.col("at_y"))
-        near_x, near_y = F.greatest(dx - 1, F.lit(0)), F.greatest(dy - 1, F.lit(0))
-        far = ((dx + 1) * (dx + 1) + (dy + 1) * (dy + 1)).cast("double")
-        near = (near_x * near_x + near_y * near_y).cast("double")
-        return F.struct(
-            F.when(_in_band(c["cell_y"], grid), far).otherwise(F.lit(float("inf"))).alias("far"),
-            F.when(_in_band(c["cell_y"], grid), near).otherwise(F.lit(0.0)).alias("near"),
-            c["n"].alias("n"),
-            c["cell_x"].alias("cell_x"),
-            c["cell_y"].alias("cell_y"),
-        )
-
-    def in_radius(at: Column) -> Column:
-        boxes = F.filter(F.transform("cells", bounded), lambda b: b["near"] <= at["radius"])
-        return F.struct(at.alias("at"), F.sort_array(boxes).alias("boxes"))
-
-    def take(acc: Column, b: Column) -> Column:
-        return F.struct(
-            (acc["seen"] + b["n"]).alias("seen"),
-            F.when(acc["seen"] < limit, b["far"]).otherwise(acc["far"]).alias("far"),
-        )
-
-    def with_reach(s: Column) -> Column:
-        none = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("far"))
-        held = F.aggregate(s["boxes"], none, take, lambda acc: F.when(acc["seen"] >= limit, acc["far"]))
-        reach = F.least(s["at"]["radius"], held * s["at"]["ratio"])
-        return F.struct(reach.alias("reach"), s["boxes"].alias("boxes"))
-
-    def searched(s: Column) -> Column:
-        return F.transform(
-            F.filter(s["boxes"], lambda b: b["near"] <= s["reach"]),
-            lambda b: F.struct(
-                b["cell_x"].alias("cell_x"),
-                b["cell_y"].alias("cell_y"),
-                (s["reach"] * (size * size)).alias("reach"),
-            ),
-        )
+    def gap(cell: str, place: str) -> Column:
+        """Smallest distance in pixels between points of two cells, along one axis."""
+        return F.greatest(F.abs(F.col(cell) - F.col(place)) - 1, F.lit(0)) * float(_CELL)
 
-    chosen = F.flatten(F.transform(F.transform(F.transform(F.array(start), in_radius), with_reach), searched))
-    joined = spread_join(places, tile_cells, _TILE, "inner")
-    return joined.select(*_TILE, "at_x", "at_y", F.explode(chosen).alias("_cell")).select(
-        *_TILE, "at_x", "at_y", "_cell.*"
+    near = F.pow(gap("cell_x", "at_x"), 2) + F.pow(gap("cell_y", "at_y"), 2)
+    return (
+        spread_join(asked, occupied, [*_TILE, "s", "u", "v"], "inner")
+        .where(near <= F.col("reach"))
+        .select(*at, "cell_x", "cell_y", "reach")
     )
 
 
@@ -151,22 +140,22 @@ def nearby_topk(
     radius_m: float = 500.0,
     limit: int = 5,
     neighbors: bool = False,
-    grid: int = 16,
     zoom: int = geo.ZOOM,
 ) -> DataFrame:
     """The ``limit`` nearest point features of each coordinate within the radius, ranked from 1.
 
     ``coords`` has a unique ``ord``, lat and lon; features are searched in the tile of the coordinate,
-    with ``neighbors`` also in the eight tiles around it. Equal distances rank by feature_pos.
+    with ``neighbors`` also in the eight tiles around it. Equal distances rank by feature_pos. Pixels
+    more than eight tiles away from their tile are not valid and are left out.
 
     Work per coordinate does not grow with the tile: copies at one pixel are cut to ``limit`` before
     they are shuffled, and of the remaining features only those in grid cells near enough to matter
     are paired. A tile that holds much of the data is split by cell, and by adaptive execution.
     """
-    points = point_features(features)
+    points = point_features(features).where(_in_band("px") & _in_band("py"))
     pixel = Window.partitionBy("tile_x", "tile_y", "px", "py").orderBy("feature_pos")
     points = points.withColumn("_copy", F.row_number().over(pixel)).where(F.col("_copy") <= limit)
-    points = _with_cell(points.drop("_copy"), grid)
+    points = points.drop("_copy").withColumns({"cell_x": _cell("px"), "cell_y": _cell("py")})
 
     targets = with_tile(coords.select("ord", "lat", "lon"), zoom)
     if neighbors:
@@ -176,31 +165,26 @@ def nearby_topk(
             {"tile_x": F.col("tile_x") + F.col("_dx"), "tile_y": F.col("tile_y") + F.col("_dy")}
         ).drop("_dx", "_dy")
 
-    size = float(geo.EXTENT) / grid
-    targets = targets.withColumns({"x": geo.pixel_x("lon", "tile_x", zoom), "y": geo.pixel_y("lat", "tile_y", zoom)})
     targets = targets.withColumns(
-        {"at_x": F.floor(F.col("x") / size).cast("int"), "at_y": F.floor(F.col("y") / size).cast("int")}
-    )
+        {"x": geo.pixel_x("lon", "tile_x", zoom), "y": geo.pixel_y("lat", "tile_y", zoom)}
+    ).withColumns({"at_x": _cell("x"), "at_y": _cell("y")})
     at = [*_TILE, "at_x", "at_y"]
-    plan = _search_plan(targets.select(*at).distinct(), _tile_cells(points), radius_m, limit, grid, zoom)
+    plan = _search_plan(targets.select(*at).distinct(), points, radius_m, limit, zoom)
 
     def gap(cell: str, place: str) -> Column:
         """Distance in pixels from a place to a cell, along one axis."""
-        left = F.col(cell) * size - F.col(place)
-        return F.greatest(left, -left - size, F.lit(0.0))
+        left = F.col(cell) * float(_CELL) - F.col(place)
+        return F.greatest(left, -left - float(_CELL), F.lit(0.0))
 
     gap_x, gap_y = gap("cell_x", "x"), gap("cell_y", "y")
-    outside = ~_in_band(F.col("cell_y"), grid)
-    searched = spread_join(targets, plan, at, "inner").where(
-        outside | (gap_x * gap_x + gap_y * gap_y <= F.col("reach"))
-    )
+    searched = spread_join(targets, plan, at, "inner").where(gap_x * gap_x + gap_y * gap_y <= F.col("reach"))
     located = locate_features(points, zoom).select(
         *_TILE, "cell_x", "cell_y", "px", "py", "feature_pos", "id", "feature_lat", "feature_lon"
     )
     pairs = spread_join(searched.drop("at_x", "at_y"), located, [*_TILE, "cell_x", "cell_y"], "inner")
     # The distance in pixels is cheap and leaves few pairs for the distance in metres.
     dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    found = pairs.where(outside | (dx * dx + dy * dy <= F.col("reach"))).withColumn(
+    found = pairs.where(dx * dx + dy * dy <= F.col("reach")).withColumn(
         "distance_m", geo.haversine_m("lat", "lon", "feature_lat", "feature_lon")
     )
     nearest = Window.partitionBy("ord").orderBy("distance_m", "feature_pos", *_TILE)
