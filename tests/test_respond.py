@@ -59,7 +59,7 @@ def test_evaluate_resumes(spark, annotations, images, tmp_path):
 
     workflows.evaluate(annotations, images, first, "gpt-4omini", path, pilot=3, backoff_s=0)
     assert sorted(r.id for r in tables.read_done(spark, path).collect()) == ["0", "2"]
-    workflows.evaluate(annotations, images, second, "gpt-4omini", path, backoff_s=0)
+    workflows.evaluate(annotations, images, second, "gpt-4omini", path, backoff_s=0, batches=3)
     rows = {r.id: r for r in tables.load_results(spark, path, "parquet").collect()}
     assert set(rows) == set("012345")
     assert {i: r.predicted_country for i, r in rows.items()} == {

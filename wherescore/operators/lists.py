@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from wherescore.functions import text
 from wherescore.functions.lookups import (
-    COUNTRY_REGIONS,
     COUNTRY_RENAMES,
     CUE_HEADERS,
+    LABEL_REGIONS,
     MULTI_CUE_HEADER,
     lookup_frame,
 )
@@ -53,7 +53,7 @@ def _id_lines(lines: DataFrame) -> DataFrame:
 def parse_image_list(
     lines: DataFrame,
     renames: Mapping[str, str] = COUNTRY_RENAMES,
-    regions: Mapping[str, str] = COUNTRY_REGIONS,
+    regions: Mapping[str, str] = LABEL_REGIONS,
     root: str = "data/images",
 ) -> DataFrame:
     """Annotation rows of a list, with its ``file`` and ``pos``.

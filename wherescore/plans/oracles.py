@@ -9,6 +9,7 @@ from wherescore.functions.lookups import (
     CUE_HEADERS,
     CUE_LETTERS,
     CUE_TYPES,
+    LABEL_REGIONS,
     PROMPT,
 )
 from wherescore.plans.fixtures import COUNTRIES, MODELS
@@ -37,6 +38,7 @@ COUNTRY_DIM = _values(
 )
 ALIASES = _values("aliases", "alias, canonical", COUNTRY_ALIASES.items())
 REGIONS = _values("regions", "country, region", COUNTRY_REGIONS.items())
+LABELS = _values("regions", "country, region", LABEL_REGIONS.items())
 MODEL_DIM = _values(
     "model_dim", "model_key, model_id, provider, generation, cost_per_item, min_interval_s", MODELS
 )
@@ -124,7 +126,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS id,
  CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN 'https://img.example/' || c_custkey END AS url
 FROM customer)"""
 
-LIST = f"""{COUNTRY_DIM}, {REGIONS}, lines AS (
+LIST = f"""{COUNTRY_DIM}, {LABELS}, lines AS (
 SELECT p_partkey AS pos, trim(CASE
  WHEN p_partkey % 40 = 0 THEN CASE WHEN country = 'United Kingdom' THEN 'UK' ELSE country END
  WHEN p_partkey % 40 = 2 THEN 'Linguistic' WHEN p_partkey % 40 = 12 THEN '  Environmental '

@@ -75,24 +75,28 @@ def evaluate(
     results_path: str,
     pilot: int | None = None,
     fmt: str = "parquet",
+    batches: int = 1,
     **calls,
 ) -> None:
     """Ask the model about every image that has no result yet and append the scored answers.
 
-    One pass: rows whose call failed are not written, so the next run takes them up again.
+    Rows whose call failed are not written, so the next run takes them up again. The ids are split
+    into ``batches`` that are committed one after another: an aborted run loses at most one of them.
     """
     spark = annotations.sparkSession
     model = model_id(model_key)
     work = pending_work(annotations, tables.read_done(spark, results_path, fmt), pilot)
-    requests = image_payload(work.select(*ANNOTATION_COLUMNS), images)
-    answered = batch_responses(requests, respond, **calls)
-    rows = (
-        answered.where(F.col("status") != FAILED)
-        .withColumnsRenamed({"country": "true_country"})
-        .withColumn("true_region", F.coalesce("region", F.lit("")))
-        .withColumn("model", F.lit(model))
-    )
-    tables.append_results(score_responses(rows), results_path, fmt)
+    work = work.select(*ANNOTATION_COLUMNS)
+    for batch in range(batches):
+        part = work if batches == 1 else work.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+        answered = batch_responses(image_payload(part, images), respond, **calls)
+        rows = (
+            answered.where(F.col("status") != FAILED)
+            .withColumnRenamed("country", "true_country")
+            .withColumn("true_region", F.coalesce("region", F.lit("")))
+            .withColumn("model", F.lit(model))
+        )
+        tables.append_results(score_responses(rows), results_path, fmt)
 
 
 def rescore(
