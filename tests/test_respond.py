@@ -22,7 +22,7 @@ def images(spark):
 
 
 def test_payload(annotations, images):
-    rows = {r.id: r for r in image_payload(annotations, images, "hi").collect()}
+    rows = {r.id: r for r in image_payload(annotations, images, "hi", with_url=True).collect()}
     assert rows["2"].image_b64 == base64.b64encode(b"\x02" * 100).decode()
     assert rows["2"].data_url == "data:image/jpeg;base64," + rows["2"].image_b64 and rows["2"].prompt == "hi"
     assert rows["2"].raw_response is None
@@ -67,7 +67,7 @@ def test_evaluate_resumes(spark, annotations, images, tmp_path):
     }
     assert rows["2"].region_correct and not rows["2"].correct
     assert rows["5"].raw_response == "IMAGE_NOT_FOUND" and {r.model for r in rows.values()} == {"gpt-4o-mini"}
-    workflows.evaluate(annotations, images, second, "gpt-4omini", path)
+    workflows.evaluate(annotations, images, {"openai": second}, "gpt-4omini", path)
     assert tables.load_results(spark, path, "parquet").count() == 6
     with pytest.raises(ValueError):
         workflows.evaluate(annotations, images, second, "unknown", path)

@@ -17,25 +17,24 @@ from wherescore.operators.joins import spread_join
 OK, MISSING, FAILED = "ok", "missing", "failed"
 
 
-def image_payload(annotations: DataFrame, images: DataFrame, prompt: str = PROMPT) -> DataFrame:
-    """Annotations with the request for their image: base64 text, data URL and prompt.
+def image_payload(
+    annotations: DataFrame, images: DataFrame, prompt: str = PROMPT, with_url: bool = False
+) -> DataFrame:
+    """Annotations with the request for their image: base64 text, prompt and, if asked for, data URL.
 
     ``images`` has one row per filepath: filepath, content. A missing image leaves the payload NULL
     and sets ``raw_response`` to IMAGE_NOT_FOUND. Bytes are encoded after the join, so the shuffle
     carries the shorter form.
     """
     joined = spread_join(annotations, images.select("filepath", "content"), ["filepath"], "left")
-    return (
-        joined.withColumn("image_b64", text.base64_text("content"))
-        .withColumns(
-            {
-                "data_url": text.data_url("image_b64"),
-                "prompt": F.lit(prompt),
-                "raw_response": F.when(F.col("content").isNull(), F.lit(IMAGE_NOT_FOUND)),
-            }
-        )
-        .drop("content")
-    )
+    out = joined.withColumns(
+        {
+            "image_b64": text.base64_text("content"),
+            "prompt": F.lit(prompt),
+            "raw_response": F.when(F.col("content").isNull(), F.lit(IMAGE_NOT_FOUND)),
+        }
+    ).drop("content")
+    return out.withColumn("data_url", text.data_url("image_b64")) if with_url else out
 
 
 def batch_responses(

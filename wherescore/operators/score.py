@@ -115,6 +115,12 @@ def tag_multicue(df: DataFrame, annotations: DataFrame) -> DataFrame:
     )
 
 
+def multicue_count(df: DataFrame) -> DataFrame:
+    """Number of multi-cue rows and of all rows."""
+    flags = F.coalesce(F.sum(text.parse_bool("multi_cue").cast("int")), F.lit(0))
+    return df.agg(flags.alias("n_multi"), F.count("*").alias("n_rows"))
+
+
 def single_cue_only(df: DataFrame) -> DataFrame:
     """Drop multi-cue rows if the column exists."""
     return df.where(~text.parse_bool("multi_cue")) if "multi_cue" in df.columns else df

@@ -189,6 +189,9 @@ SELECT ord, id, model, predicted_country, true_region, region_correct FROM resul
         "tag_multicue": f"""WITH {RESPONSES}, flagged AS (
 SELECT DISTINCT id FROM annotations WHERE multi_cue OR ord % 7 = 0)
 SELECT ord, id, model, id IN (SELECT id FROM flagged) AS multi_cue FROM responses""",
+        "multicue_count": f"""WITH {RESPONSES}, flagged AS (
+SELECT DISTINCT id FROM annotations WHERE multi_cue OR ord % 7 = 0)
+SELECT count(*) FILTER (id IN (SELECT id FROM flagged)) AS n_multi, count(*) AS n_rows FROM responses""",
         "attach_region": f"""WITH {RESPONSES}, again AS (
 SELECT id, coalesce(CASE WHEN ord % 7 = 0 THEN CASE WHEN ord % 2 = 0 THEN 'East Asia' ELSE '' END ELSE region END, '') AS region
 FROM annotations WHERE country <> 'Peru')

@@ -138,6 +138,12 @@ def tag_multicue(spark, sf_dir):
     return tagged.select("ord", "id", "model", "multi_cue")
 
 
+@query
+def multicue_count(spark, sf_dir):
+    tagged = score.tag_multicue(fx.responses(spark, sf_dir), fx.repeated_annotations(spark, sf_dir))
+    return score.multicue_count(tagged)
+
+
 @query
 def attach_region(spark, sf_dir):
     rows = fx.responses(spark, sf_dir).drop("true_region")
@@ -359,7 +365,7 @@ def load_results(spark, sf_dir):
     early = F.col("model").isin("model_0", "model_1", "model_2")
     tables.append_results(rows.where(early), f"{folder}/results_a.csv", "csv")
     old = rows.where(~early).drop("region_correct")
-    old.write.options(**tables._CSV_WRITE).csv(f"{folder}/results_b.csv")
+    old.write.options(**tables.CSV_WRITE).csv(f"{folder}/results_b.csv")
     return tables.load_results(spark, folder)
 
 
@@ -406,7 +412,7 @@ def new_annotations(spark, sf_dir):
 
 @query
 def image_payload(spark, sf_dir):
-    rows = respond.image_payload(fx.page_annotations(spark, sf_dir), fx.page_images(spark, sf_dir))
+    rows = respond.image_payload(fx.page_annotations(spark, sf_dir), fx.page_images(spark, sf_dir), with_url=True)
     return rows.select("id", "filepath", "image_b64", "data_url", "prompt", "raw_response")
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherescore.functions import text
-from wherescore.functions.lookups import model_id
+from wherescore.functions.lookups import model_id, model_provider
 from wherescore.operators.lists import parse_image_list, parse_image_list_ids
 from wherescore.operators.nearby import image_urls
 from wherescore.operators.planning import pending_work
@@ -70,7 +70,7 @@ def _fetchable(ids: DataFrame, meta: DataFrame, present: DataFrame | None, skip_
 def evaluate(
     annotations: DataFrame,
     images: DataFrame,
-    respond: Callable[[dict], str],
+    respond: Callable[[dict], str] | Mapping[str, Callable[[dict], str]],
     model_key: str,
     results_path: str,
     pilot: int | None = None,
@@ -80,11 +80,14 @@ def evaluate(
 ) -> None:
     """Ask the model about every image that has no result yet and append the scored answers.
 
-    Rows whose call failed are not written, so the next run takes them up again. The ids are split
-    into ``batches`` that are committed one after another: an aborted run loses at most one of them.
+    ``respond`` is a responder, or one for each provider. Rows whose call failed are not written, so
+    the next run takes them up again. The ids are split into ``batches`` that are committed one after
+    another: an aborted run loses at most one of them.
     """
     spark = annotations.sparkSession
     model = model_id(model_key)
+    if isinstance(respond, Mapping):
+        respond = respond[model_provider(model_key)]
     work = pending_work(annotations, tables.read_done(spark, results_path, fmt), pilot)
     work = work.select(*ANNOTATION_COLUMNS)
     for batch in range(batches):

@@ -14,8 +14,8 @@ from wherescore.operators.joins import spread_join
 from wherescore.schemas import ANNOTATION_COLUMNS, ANNOTATIONS, COORDS, RESULT_COLUMNS, RESULTS
 
 # Quoted fields may hold line breaks and doubled quotes; blanks belong to the value.
-_CSV_READ = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-_CSV_WRITE = {
+CSV_READ = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_WRITE = {
     "header": True,
     "quote": '"',
     "escape": '"',
@@ -57,7 +57,7 @@ def read_annotations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
         table = reader.format(fmt).load(path)
     else:
         as_text = T.StructType([T.StructField(c, T.StringType()) for c in ANNOTATION_COLUMNS])
-        table = spark.read.schema(as_text).options(**_CSV_READ).csv(path)
+        table = spark.read.schema(as_text).options(**CSV_READ).csv(path)
     ordered = table.select("*", _row_order().alias("ord"))
     return ordered.withColumn("multi_cue", text.parse_bool("multi_cue"))
 
@@ -67,7 +67,7 @@ def write_annotations(df: DataFrame, path: str, fmt: str = "csv") -> int:
     seen = Observation()
     rows = df.select(*ANNOTATION_COLUMNS).observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.mode("overwrite").format(fmt)
-    (writer.options(**_CSV_WRITE) if fmt == "csv" else writer).save(path)
+    (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(path)
     return seen.get["rows"]
 
 
@@ -80,7 +80,7 @@ def new_annotations(images: DataFrame) -> DataFrame:
 def append_annotations(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Add rows to an annotation table."""
     writer = new_annotations(df).write.mode("append").format(fmt)
-    (writer.options(**_CSV_WRITE) if fmt == "csv" else writer).save(path)
+    (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(path)
 
 
 def load_results(spark: SparkSession, directory: str, fmt: str = "csv") -> DataFrame:
@@ -100,18 +100,20 @@ def load_results(spark: SparkSession, directory: str, fmt: str = "csv") -> DataF
         entry = F.regexp_extract("path", r"^(.*/results_[^/]*\.csv)(?:/[^/]*)?$", 1)
         entries = sorted(r[0] for r in files.select(entry.alias("entry")).distinct().collect())
     except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no results_*.csv in {directory}") from error
     if not entries:
         raise FileNotFoundError(f"no results_*.csv in {directory}")
 
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in entries:
-        header = tuple(spark.read.options(**_CSV_READ).csv(path).columns)
+        header = tuple(spark.read.options(**CSV_READ).csv(path).columns)
         by_header.setdefault(header, []).append(path)
     out = None
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        part = spark.read.schema(schema).options(**_CSV_READ).csv(paths)
+        part = spark.read.schema(schema).options(**CSV_READ).csv(paths)
         flags = [c for c in ("correct", "region_correct") if c in header]
         part = part.withColumns({c: _truth(c) for c in flags})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -127,15 +129,17 @@ def require_raw_response(df: DataFrame) -> DataFrame:
 def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Add scored rows to a results table, fixed columns in fixed order; one commit per call."""
     writer = df.select(*RESULT_COLUMNS).write.mode("append").format(fmt)
-    (writer.options(**_CSV_WRITE) if fmt == "csv" else writer).save(path)
+    (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(path)
 
 
 def read_done(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Results that exist already; empty if there are none yet."""
     reader = spark.read.schema(RESULTS).format(fmt)
     try:
-        return (reader.options(**_CSV_READ) if fmt == "csv" else reader).load(path)
-    except AnalysisException:
+        return (reader.options(**CSV_READ) if fmt == "csv" else reader).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], RESULTS)
 
 
@@ -144,7 +148,7 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     spark = df.sparkSession
     fresh, old = (f"{path.rstrip('/')}__{part}_{uuid.uuid4().hex}" for part in ("new", "old"))
     writer = df.write.format(fmt)
-    (writer.options(**_CSV_WRITE) if fmt == "csv" else writer).save(fresh)
+    (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(fresh)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     target, source, backup = hadoop(path), hadoop(fresh), hadoop(old)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -166,7 +170,7 @@ def checked_coords(df: DataFrame) -> DataFrame:
 
 def read_coords(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate CSV. Without an ``ord`` column the row order of the file is added as ``ord``."""
-    table = spark.read.options(**_CSV_READ).csv(path)
+    table = spark.read.options(**CSV_READ).csv(path)
     if "ord" in table.columns:
         return checked_coords(table).withColumn("ord", F.col("ord").cast("bigint"))
     return checked_coords(table.select("*", _row_order().alias("ord")))
