@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wherescore.functions import geo
 from wherescore.operators.joins import spread_join
+from wherescore.sources.scratch import settle
 
 # Factor on squared distance bounds; far above rounding and the bulge of a great circle.
 _MARGIN = 1.0001
@@ -81,9 +82,7 @@ def _search_plan(places: DataFrame, points: DataFrame, radius_m: float, limit: i
     """
     levels = F.explode(F.array(*[F.lit(s) for s in _LEVELS])).alias("s")
     all_levels = F.explode(F.array(*[F.lit(s) for s in (*_LEVELS, _TOP)])).alias("s")
-    # Counting ids keeps the columns of the features alike in both of their uses, so that Spark
-    # shuffles them once.
-    counts = points.groupBy(*_TILE, "cell_x", "cell_y").agg(F.count("id").alias("n"))
+    counts = points.groupBy(*_TILE, "cell_x", "cell_y").agg(F.count("*").alias("n"))
     held = (
         counts.select("*", levels)
         .groupBy(*_TILE, "s", _coarse("cell_x").alias("u"), _coarse("cell_y").alias("v"))
@@ -155,7 +154,9 @@ def nearby_topk(
     points = point_features(features).where(_in_band("px") & _in_band("py"))
     pixel = Window.partitionBy("tile_x", "tile_y", "px", "py").orderBy("feature_pos")
     points = points.withColumn("_copy", F.row_number().over(pixel)).where(F.col("_copy") <= limit)
-    points = points.drop("_copy").withColumns({"cell_x": _cell("px"), "cell_y": _cell("py")})
+    points = points.withColumns({"cell_x": _cell("px"), "cell_y": _cell("py")})
+    # Read three times below: written once, so that the features are scanned and shuffled once.
+    points = settle(points.select(*_TILE, "cell_x", "cell_y", "px", "py", "feature_pos", "id"))
 
     targets = with_tile(coords.select("ord", "lat", "lon"), zoom)
     if neighbors:
