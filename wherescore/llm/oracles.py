@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wherescore.llm import queries
+from wherescore.llm import decontaminate, queries
 
 SHARDS = """
 WITH d AS (
@@ -29,11 +29,50 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+#: Documents with the benchmark items they hold. Seeds are token lists here instead of hashes.
+LEAKS = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w
+  FROM {docs}
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w
+  FROM benchmark
+), m AS (SELECT * FROM (VALUES {masks}) AS t(mask, keep)
+), ds AS (
+  SELECT doc_id, w, p, mask, list_transform(keep, lambda k: w[p + k]) AS seed FROM d, range(1, len(w) - 6) AS r(p), m
+  WHERE len(w) >= 8
+), bs AS (
+  SELECT item_id, w, p, mask, list_transform(keep, lambda k: w[p + k]) AS seed FROM i, range(1, len(w) - 6) AS r(p), m
+  WHERE len(w) >= 8
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS start, bs.p AS place, ds.w AS dw, bs.w AS iw
+  FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
+), compared AS (
+  SELECT doc_id, item_id, start, place, least(16, len(iw)) AS width, len(iw) AS n,
+         list_transform(range(1, len(iw) + 1),
+           lambda k: CASE WHEN start + k >= 1 AND start + k <= len(dw) AND iw[k] = dw[start + k] THEN 1 ELSE 0 END) AS same
+  FROM hits
+), verified AS (
+  SELECT DISTINCT doc_id, item_id, start FROM compared, range(greatest(1, place + 8 - width), least(place, n - width + 1) + 1) AS r(s)
+  WHERE list_sum(same[s:s + width - 1]) >= ceil(width * 0.8)
+)
+SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, sum(n)::BIGINT AS n_overlaps
+FROM (SELECT doc_id, item_id, count(*) AS n FROM verified GROUP BY ALL) GROUP BY doc_id
+"""
+
+
+def leaks(docs: str) -> str:
+    masks = ", ".join(
+        f"({k}, [{', '.join(str(i) for i, bit in enumerate(mask) if bit == '1')}])" for k, mask in enumerate(decontaminate.MASKS)
+    )
+    return LEAKS.format(docs=docs, masks=masks)
+
 
 def sql() -> dict[str, str]:
     return {
         "op1_extendible_shards": SHARDS.format(
             docs="documents", limit=queries.SHARD_BYTES, columns="leaf.doc_id, ", join=""
         ),
+        "op5_decontaminate": leaks("documents"),
         "op4_exact_dedup": EXACT,
     }

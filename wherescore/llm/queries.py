@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherescore.llm import exact, sharding, simhash, toxicity
+from wherescore.llm import decontaminate, exact, sharding, simhash, toxicity
 from wherescore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "n_overlaps")
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
