@@ -13,11 +13,6 @@ FILTER_BITS = 1 << 23
 _BUCKET_BITS = 8 * 4096  # of bitmap_construct_agg
 
 
-def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """The distinct keys that more than one row has."""
-    return rows.groupBy(*keys).count().where("count > 1").select(*keys)
-
-
 def _slot(bits: int) -> Column:
     return F.pmod(F.xxhash64("n_bytes", "prefix"), F.lit(bits))
 
@@ -59,9 +54,9 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 64, bits: int = FILTER_BIT
         F.octet_length("text").alias("n_bytes"),
         F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix"),
     )
-    keys = rows.select("n_bytes", "prefix")
-    lengths = repeated(keys, "n_bytes")
-    prefixes = repeated(keys.join(lengths, "n_bytes", "left_semi"), "n_bytes", "prefix")
+    lengths = rows.groupBy("n_bytes").count().where("count > 1")
+    counted = rows.groupBy("n_bytes", "prefix").count()  # so that copies are one row in the join
+    prefixes = spread_join(counted, lengths.select("n_bytes"), ["n_bytes"], "left_semi").where("count > 1")
     return (
         surviving(rows, prefixes, bits)
         .select("doc_id", F.sha2("text", 256).alias("text_sha256"))

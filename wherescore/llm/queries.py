@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherescore.llm import decontaminate, exact, sharding, simhash, toxicity
+import corpus_pipeline
+from wherescore.llm import decontaminate, exact, mixing, sharding, simhash, toxicity
 from wherescore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,12 +49,31 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "n_overlaps")
 
 
+def domain_labels(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Domain of the rows that the table of labels covers: their language."""
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id", "left_semi")
+
+
+@query
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = mixing.rates(docs, domain_labels(spark, sf_dir, docs), mixing.TARGETS)
+    posteriors = [F.bround(f"p_{k}", 6).alias(f"p_{d}") for k, d in enumerate(sorted(mixing.TARGETS))]
+    return found.select("doc_id", "tokens", *posteriors, F.bround("rate", 6).alias("rate"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def sql() -> dict[str, str]:
     from wherescore.llm import oracles
 
