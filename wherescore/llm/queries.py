@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wherescore.llm import decontaminate, exact, mixing, sharding, simhash, toxicity
+from wherescore.llm import decontaminate, exact, mixing, pii, sharding, simhash, toxicity
 from wherescore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "n_overlaps")
 
 
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.BASE],
+        F.sha2(pii.places(pii.BASE).cast("binary"), 256).alias("base_sha256"),
+        pii.places(pii.BASE + pii.MORE).alias("spans"),
+    )
+
+
 def domain_labels(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """Domain of the rows that the table of labels covers: their language."""
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
