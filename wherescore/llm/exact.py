@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wherescore.llm.common import whole_text
@@ -13,18 +13,15 @@ FILTER_BITS = 1 << 23
 _BUCKET_BITS = 8 * 4096  # of bitmap_construct_agg
 
 
-def _slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64("n_bytes", "prefix"), F.lit(bits))
-
-
 def surviving(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose (n_bytes, prefix) may be in ``keys``, found without moving the rows.
+    """Rows whose values in the columns of ``keys`` may be in ``keys``, found without moving the rows.
 
     The keys are folded into a bitmap of ``bits`` bits, so at most bits / 8 bytes are broadcast whatever the input.
     A few rows may pass that are not in ``keys``; none is lost.
     """
+    slot = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
     bitmap = (
-        keys.select(_slot(bits).alias("slot"))
+        keys.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("_bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
     )
@@ -32,7 +29,7 @@ def surviving(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> Data
     byte = F.conv(F.hex(F.substr("_bitmap", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.expr("(_byte >> cast(bitmap_bit_position(_slot) % 8 as int)) & 1")
     return (
-        rows.withColumn("_slot", _slot(bits))
+        rows.withColumn("_slot", slot)
         .withColumn("_bucket", F.bitmap_bucket_number("_slot"))
         .join(F.broadcast(bitmap), "_bucket")
         .withColumn("_byte", byte)
@@ -56,7 +53,7 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 64, bits: int = FILTER_BIT
     )
     lengths = rows.groupBy("n_bytes").count().where("count > 1")
     counted = rows.groupBy("n_bytes", "prefix").count()  # so that copies are one row in the join
-    prefixes = spread_join(counted, lengths.select("n_bytes"), ["n_bytes"], "left_semi").where("count > 1")
+    prefixes = spread_join(counted, lengths.select("n_bytes"), ["n_bytes"], "left_semi").where("count > 1").select("n_bytes", "prefix")
     return (
         surviving(rows, prefixes, bits)
         .select("doc_id", F.sha2("text", 256).alias("text_sha256"))

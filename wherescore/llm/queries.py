@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wherescore.llm import decontaminate, exact, mixing, pii, sharding, simhash, suffix, toxicity
+from wherescore.llm import decontaminate, exact, html, lines, mixing, pii, sharding, simhash, suffix, toxicity
 from wherescore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def domain_labels(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """Domain of the rows that the table of labels covers: their language."""
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
@@ -91,6 +97,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_components(documents(spark, sf_dir)).drop("_row_hash")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
