@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherescore.llm.common import ROW_KEY, row_key, whole_text, without
+from wherescore.operators.joins import spread_join
+from wherescore.sources.scratch import settle
 
 #: 1: compared, 0: ignored. One substitution in the inner positions of eight tokens is ignored by one of them.
 MASKS = ("11011011", "10111101", "11100111")
@@ -50,17 +52,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     Null and empty texts, and texts or items of fewer than eight tokens, have none; null item ids are kept as such.
     """
     seeds = benchmark_seeds(benchmark)
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    words = docs.select(*row_key(), "doc_id", tokens(whole_text()).alias("words")).where(F.size("words") >= SPAN)
+    words = docs.select(*row_key(), "doc_id", tokens(whole_text()).alias("words"))
     places = words.select("*", F.posexplode("words").alias("pos", "_first")).where(F.col("pos") <= F.size("words") - SPAN)
-    hashed = places.select(*ROW_KEY, "doc_id", "words", "pos", F.explode(F.array(*_seeds("words", F.col("pos")))).alias("seed"))
-    hits = hashed.join(seeds, "seed").withColumn("start", F.col("pos") - F.col("at"))
-    # Agreement at each position of the item; positions before or after the document do not agree.
-    matched = F.transform(
-        F.col("item"),
-        lambda t, i: F.when((F.col("start") + i >= 0) & (t == F.get("words", F.col("start") + i)), 1).otherwise(0),
-    )
+    seed = F.explode(F.array(*_seeds("words", F.col("pos")))).alias("seed")
+    start = F.col("pos") - F.col("at")
+    # The document's tokens beside the item's, from the token ``skipped`` of the item on.
+    skipped = F.greatest(-start, F.lit(0))
+    beside = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item") - skipped)
+    aligned = [*ROW_KEY, "doc_id", "item_id", "item", "at", start.alias("start"), skipped.alias("skipped"), beside.alias("beside")]
+    if seeds.count() <= BROADCAST_SEEDS:
+        # Nothing here leaves generated code, so that a document's tokens are not copied for each place.
+        hits = places.select(*ROW_KEY, "doc_id", "words", "pos", seed).join(F.broadcast(seeds), "seed").select(*aligned)
+    else:
+        found = places.select(*ROW_KEY, "pos", seed).join(seeds, "seed").drop("seed")
+        hits = spread_join(found, words.dropDuplicates(ROW_KEY), ROW_KEY, "inner").select(*aligned)
+    hits = settle(hits)
+    matched = F.transform("item", lambda t, i: F.when(t == F.get("beside", i - F.col("skipped")), 1).otherwise(0))
     width = F.least(F.lit(window), F.size("item"))
     first = F.greatest(F.lit(0), F.col("at") + SPAN - width)
     last = F.least(F.col("at"), F.size("item") - width)

@@ -54,7 +54,7 @@ def assign_shards(
     """
     carry = [c for c in (carry or [key]) if c not in ("bytes", "shard", "depth", "shard_bytes", "shard_docs")]
     size = F.octet_length(whole_text()).cast("long") if size is None else size
-    rows = docs.select(F.struct(*carry).alias("_row"), size.alias("bytes"), key_hash(key).alias("_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), size.alias("bytes"), key_hash(key).alias("_hash"))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     depth = min(HASH_BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + LOOK_AHEAD)
     out: DataFrame | None = None
