@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wherescore.operators import planning
 from wherescore.operators.ordered import block_of, running
+from wherescore.sources import tables
 
 
 @pytest.mark.parametrize("span", [1, 3, 1000])
@@ -37,12 +38,21 @@ def test_running_accuracy(spark, span):
             assert found[m, i] == (n, hits)
 
 
-@pytest.mark.parametrize("top_n", [0, 1000])
-def test_first_rows(spark, top_n):
+def test_first_rows(spark):
     table = spark.range(0, 300, 3).withColumnRenamed("id", "ord").repartition(6)
     for n in (0, 1, 37, 100, 500):
-        found = planning.first_rows(table, n, span=16, top_n=top_n).collect()
+        found = planning.first_rows(table, n).collect()
         assert sorted(r.ord for r in found) == list(range(0, 300, 3))[:n]
+    named = table.select(F.format_string("file/%05d", "ord").alias("ord")).unionByName(spark.createDataFrame([(None,)], "ord string"))
+    assert sorted(r.ord for r in planning.first_rows(named, 3).collect()) == ["file/00000", "file/00003", "file/00006"]
+    assert planning.first_rows(named, 500).count() == 100
+
+
+def test_long_pilot_from_a_csv_file(spark, tmp_path):
+    path = tmp_path / "annotations.csv"
+    path.write_text("id,filepath,country\n" + "".join(f"{i},p{i},Japan\n" for i in range(130_000)))
+    rows = tables.read_annotations(spark, str(path))
+    assert {int(r.id) for r in planning.pending_work(rows, None, pilot=110_000).select("id").collect()} == set(range(110_000))
 
 
 def test_pending_work(spark):

@@ -6,7 +6,9 @@ SCHEMA = "id string, cue_type string, true_country string, model string, raw_res
 def test_new_files_are_scored_once(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     first = [("1", "l", "Japan", "m", "COUNTRY: Japan"), ("2", "l", "Japan", "m", "COUNTRY: China")]
-    regions = spark.createDataFrame([("1", "East Asia"), ("2", "East Asia")], "id string, region string")
+    regions = spark.createDataFrame(
+        [("1", "Europe", 0), ("1", "East Asia", 3), ("2", "East Asia", 1), (None, "Europe", 2)], "id string, region string, ord int"
+    )
     table, sums = str(tmp_path / "accuracy"), str(tmp_path / "check2")
 
     def run():
@@ -16,7 +18,7 @@ def test_new_files_are_scored_once(spark, tmp_path):
         live.write_accuracy(live.live_accuracy(live.score_stream(again)), table, sums).awaitTermination()
         return (
             sorted((r.id, r.correct, r.region_correct) for r in spark.read.parquet(out).collect()),
-            [(r.correct, r.processed, r.accuracy) for r in spark.read.parquet(table).collect()],
+            [(r.correct, r.processed, r.accuracy) for r in live.read_accuracy(spark, table).collect()],
         )
 
     spark.createDataFrame(first, SCHEMA).coalesce(1).write.parquet(source)

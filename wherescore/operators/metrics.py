@@ -7,6 +7,8 @@ A report computes the cells once, in one pass, and derives each of its tables fr
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,6 @@ from wherescore.functions import text
 from wherescore.functions.lookups import CUE_TYPES
 
 ALL_MODELS = "All models"
-MAX_PIVOT_COLUMNS = 10_000
 
 _MEASURES = ["_rows", "_correct", "_correct_n", "_region", "_region_n"]
 _KEYS = ["model", "cue_type", "true_country", "multi_cue"]
@@ -150,23 +151,12 @@ def accuracy_by_model_and_country(df: DataFrame) -> DataFrame:
     )
 
 
-def model_country_pivot(df: DataFrame, countries: list[str] | None = None) -> DataFrame:
-    """Accuracy of each model with one column per true country, and overall.
+def model_country_pivot(df: DataFrame, countries: Sequence[str]) -> DataFrame:
+    """Accuracy of each model with one column per given true country, and overall.
 
-    The column names come from the data unless given; their number is checked before they are used.
+    All countries of the data, however many, are rows of ``accuracy_by_model_and_country``.
     """
     rows = measures(df).where(F.col("model").isNotNull())
-    if countries is None:
-        found = (
-            rows.where(F.col("true_country").isNotNull())
-            .select("true_country")
-            .distinct()
-            .limit(MAX_PIVOT_COLUMNS + 1)
-            .collect()
-        )
-        if len(found) > MAX_PIVOT_COLUMNS:
-            raise ValueError(f"more than {MAX_PIVOT_COLUMNS} countries; use accuracy_by_model_and_country")
-        countries = sorted(r[0] for r in found)
     per_country = [_rate(when=F.col("true_country") == c).alias(c) for c in countries]
     return (
         rows.groupBy("model")
@@ -198,7 +188,11 @@ def accuracy_multicue(df: DataFrame) -> DataFrame:
 
 
 def multicue_pivot(df: DataFrame) -> DataFrame:
-    """Multi-cue and single-cue accuracy as columns, one row per model."""
+    """Multi-cue and single-cue accuracy as columns, one row per model; empty without the flag."""
+    if "multi_cue" not in df.columns:
+        return _empty(
+            df, ("model", T.StringType()), ("multi-cue", T.DoubleType()), ("single-cue", T.DoubleType())
+        )
     return (
         measures(df)
         .where(F.col("model").isNotNull())
@@ -212,10 +206,17 @@ def multicue_pivot(df: DataFrame) -> DataFrame:
 
 
 def model_summary(df: DataFrame) -> DataFrame:
-    """Country, region, single-cue and multi-cue accuracy of each model, in one aggregation."""
+    """Country, region, single-cue and multi-cue accuracy of each model, in one aggregation.
+
+    Accuracies whose input column is missing are NULL.
+    """
+    rows = measures(df)
+    if "_region" not in rows.columns:
+        rows = rows.withColumns({"_region": F.lit(None).cast("long"), "_region_n": F.lit(0)})
+    if "multi_cue" not in rows.columns:
+        rows = rows.withColumn("multi_cue", F.lit(None).cast("boolean"))
     return (
-        measures(df)
-        .where(F.col("model").isNotNull())
+        rows.where(F.col("model").isNotNull())
         .groupBy("model")
         .agg(
             _rate().alias("country_accuracy"),

@@ -10,23 +10,32 @@ from pyspark.sql import functions as F
 from wherescore.functions.lookups import DEFAULT_COST
 from wherescore.operators.joins import spread_join
 from wherescore.operators.ordered import BLOCK_SPAN, block_of, running
+from wherescore.sources.scratch import settle
 
-# Up to this many rows the pilot is a top-n; beyond it the cut is found by counting blocks.
-TOP_N = 100_000
 
+def first_rows(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
+    """The first ``n`` rows by a unique row position of any type that can be sorted.
 
-def first_rows(df: DataFrame, n: int, order: str = "ord", span: int = BLOCK_SPAN, top_n: int = TOP_N) -> DataFrame:
-    """The first ``n`` rows by a unique row position, without passing a large ``n`` through one task."""
-    if n <= top_n:
-        return df.orderBy(order).limit(n)
-    numbered = running(
-        df.withColumns({"_all": F.lit(0), "_one": F.lit(1), "_block": block_of(order, span)}),
-        ["_all"],
-        "_block",
-        [order],
-        {"_position": ("sum", "_one")},
+    Positions are written in ranges, one after the other over the tasks; the counts of the ranges tell in which of them the
+    n-th position lies, so no task sorts more than its range. Rows without a position are left out.
+    """
+    if n <= 0:
+        return df.limit(0)
+    placed = df.where(F.col(order).isNotNull())
+    ranges = settle(
+        placed.select(F.col(order).alias("_at"))
+        .repartitionByRange("_at")
+        .sortWithinPartitions("_at")
+        .select("_at", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
     )
-    return numbered.where(F.col("_position") <= n).select(*df.columns)
+    counts = ranges.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("first")).orderBy("_part").collect()
+    left = n
+    for part in counts:
+        if left <= part["n"]:
+            last = ranges.where((F.col("_part") == part["_part"]) & (F.col("_row") == part["first"] + left - 1)).select("_at")
+            return placed.where(F.col(order) <= last.scalar())
+        left -= part["n"]
+    return placed
 
 
 def pending_work(

@@ -26,7 +26,9 @@ def image_payload(
     and sets ``raw_response`` to IMAGE_NOT_FOUND. Bytes are encoded after the join, so the shuffle
     carries the shorter form.
     """
-    joined = spread_join(annotations, images.select("filepath", "content"), ["filepath"], "left")
+    wanted = annotations.select("filepath").distinct()
+    bytes_of = spread_join(images.select("filepath", "content"), wanted, ["filepath"], "left_semi")
+    joined = spread_join(annotations, bytes_of, ["filepath"], "left")
     out = joined.withColumns(
         {
             "image_b64": text.base64_text("content"),
@@ -43,37 +45,41 @@ def batch_responses(
     max_retries: int = 3,
     backoff_s: float = 2.0,
     concurrency: int = 1,
+    tasks: int | None = None,
     payload: tuple[str, ...] = ("image_b64", "data_url", "prompt"),
+    with_error: bool = False,
 ) -> DataFrame:
-    """Call ``respond`` for every row and add ``raw_response`` and ``status``.
+    """Call ``respond`` for every row and add ``raw_response``, ``status`` and, if asked for, ``error``.
 
     A call is tried ``max_retries`` times with waits of backoff_s ** attempt seconds. Rows that still
     fail get status ``failed`` and are to be left out of the results, so that a later run tries them
     again; rows without an image keep their marker text and status ``missing``. Answers may differ
     from call to call: write the output once before using it more than once. The payload columns are
-    dropped. Large images call for a small ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    dropped. ``tasks`` spreads the rows over so many tasks, each with ``concurrency`` calls at a time; without it the
+    requests are taken as they are dealt out. With ``with_error`` the text of the last failure is kept.
     """
     kept = [f for f in requests.schema.fields if f.name not in {*payload, "raw_response"}]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "raw_response string, status string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "raw_response string, status string", *["error string"] * with_error])
 
-    def call(row: dict) -> tuple[str | None, str]:
+    def call(row: dict) -> tuple[str | None, str, str | None]:
         if row.get("raw_response") == IMAGE_NOT_FOUND:
-            return IMAGE_NOT_FOUND, MISSING
+            return IMAGE_NOT_FOUND, MISSING, None
+        reason = None
         for attempt in range(1, max_retries + 1):
             try:
-                return respond(row), OK
-            except Exception:
+                return respond(row), OK, None
+            except Exception as error:
+                reason = f"{type(error).__name__}: {error}"
                 if attempt < max_retries and backoff_s > 0:
                     time.sleep(backoff_s**attempt)
-        return None, FAILED
+        return None, FAILED, reason
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for batch in batches:
                 answers = list(pool.map(call, batch.to_dict("records")))
-                yield batch[names].assign(
-                    raw_response=[a[0] for a in answers], status=[a[1] for a in answers]
-                )
+                added = ("raw_response", "status", "error")[: 2 + with_error]
+                yield batch[names].assign(**{name: [a[k] for a in answers] for k, name in enumerate(added)})
 
-    return requests.mapInPandas(run, schema)
+    return (requests if tasks is None else requests.repartition(tasks)).mapInPandas(run, schema)

@@ -496,4 +496,4 @@ def stream_accuracy(spark, sf_dir):
     scored = live.score_stream(live.read_responses(spark, path, schema, max_files=4))
     out = scratch_path(spark, "accuracy")
     live.write_accuracy(live.live_accuracy(scored), out, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(out)
+    return live.read_accuracy(spark, out)

@@ -56,7 +56,7 @@ def accuracy_tables(results: DataFrame) -> dict[str, DataFrame]:
         tables["region_by_model"] = metrics.region_accuracy_by_model(cells)
         tables["region_model_cue"] = metrics.region_accuracy_by_model_and_cue(cells)
     tables["by_country"] = metrics.accuracy_by_country(cells)
-    tables["model_country"] = metrics.model_country_pivot(cells)
+    tables["model_country"] = metrics.accuracy_by_model_and_country(cells)
     if "multi_cue" in results.columns:
         tables["multicue"] = metrics.accuracy_multicue(cells)
     return tables
@@ -64,7 +64,7 @@ def accuracy_tables(results: DataFrame) -> dict[str, DataFrame]:
 
 def printed_tables(results: DataFrame) -> dict[str, DataFrame]:
     """The accuracy tables as text; missing cells of the wide tables read N/A."""
-    wide = {"model_cue", "region_model_cue", "model_country"}
+    wide = {"model_cue", "region_model_cue"}
     return {n: formatted(t, "N/A" if n in wide else None) for n, t in accuracy_tables(results).items()}
 
 

@@ -23,7 +23,7 @@ from wherescore.sources.scratch import settle
 
 def build_annotations(spark: SparkSession, list_path: str, annotations_path: str) -> int:
     """Turn sectioned lists into an annotation table; returns the row count."""
-    rows = parse_image_list(tables.read_lines(spark, list_path))
+    rows = parse_image_list(tables.read_lines(spark, list_path)).orderBy("file", "pos")
     return tables.write_annotations(rows, annotations_path)
 
 
@@ -75,7 +75,7 @@ def evaluate(
     results_path: str,
     pilot: int | None = None,
     fmt: str = "parquet",
-    batches: int = 1,
+    batches: int = 20,
     **calls,
 ) -> None:
     """Ask the model about every image that has no result yet and append the scored answers.
@@ -89,10 +89,12 @@ def evaluate(
     if isinstance(respond, Mapping):
         respond = respond[model_provider(model_key)]
     work = pending_work(annotations, tables.read_done(spark, results_path, fmt), pilot)
-    work = work.select(*ANNOTATION_COLUMNS)
+    # Written once: the images are read once, and a batch does not see what earlier ones have appended.
+    requests = settle(image_payload(work.select(*ANNOTATION_COLUMNS), images))
+    calls = {"tasks": spark.sparkContext.defaultParallelism} | calls
     for batch in range(batches):
-        part = work if batches == 1 else work.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
-        answered = batch_responses(image_payload(part, images), respond, **calls)
+        part = requests if batches == 1 else requests.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+        answered = batch_responses(part, respond, **calls)
         rows = (
             answered.where(F.col("status") != FAILED)
             .withColumnRenamed("country", "true_country")
@@ -107,7 +109,7 @@ def rescore(
 ) -> None:
     """Parse and score saved responses again; the output may be the input."""
     saved = tables.require_raw_response(tables.load_results(spark, results_path, fmt))
-    tables.replace_table(score_responses(saved, annotations), output_path)
+    tables.replace_table(score_responses(saved, annotations), output_path, fmt)
 
 
 def analyse(results: DataFrame, annotations: DataFrame | None = None) -> dict[str, DataFrame]:

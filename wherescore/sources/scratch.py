@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is named, as in tests."""
+    """The session's checkpoint folder; a temporary one is set only in a local session that names none, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wherescore-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -148,7 +148,10 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     spark = df.sparkSession
     fresh, old = (f"{path.rstrip('/')}__{part}_{uuid.uuid4().hex}" for part in ("new", "old"))
     writer = df.write.format(fmt)
-    (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(fresh)
+    if fmt == "csv":  # under the name that load_results looks for
+        writer.options(**CSV_WRITE).save(f"{fresh}/results_all.csv")
+    else:
+        writer.save(fresh)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     target, source, backup = hadoop(path), hadoop(fresh), hadoop(old)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())

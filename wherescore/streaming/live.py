@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wherescore.functions.lookups import COUNTRY_ALIASES, COUNTRY_REGIONS
+from wherescore.operators.joins import spread_join
 from wherescore.operators.score import add_country_score, add_prediction, add_region_score, fallback_region
 from wherescore.schemas import RESULT_COLUMNS
 
@@ -32,18 +33,18 @@ def score_stream(
 ) -> DataFrame:
     """Scored rows of a response stream.
 
-    ``regions_by_id`` (id, region; one row per id) is a static table that gives the true region.
-    Each micro-batch joins it afresh.
+    ``regions_by_id`` (id, region) is a static table that gives the true region. Of a repeated id the last row by
+    ``ord`` counts, as in ``attach_region``; without that column the largest region. Each micro-batch joins it
+    afresh, on the id and its hash, so that a frequent id's partition can be split.
     """
     out = add_country_score(add_prediction(responses, aliases))
     if regions_by_id is None:
         out = fallback_region(out, regions)
     else:
-        static = regions_by_id.select("id", F.col("region").alias("_region"))
-        out = (
-            out.drop("true_region")
-            .join(static, "id", "left")
-            .withColumn("true_region", F.coalesce("_region", F.lit("")))
+        last = F.max_by("region", "ord") if "ord" in regions_by_id.columns else F.max("region")
+        static = regions_by_id.where(F.col("id").isNotNull()).groupBy("id").agg(last.alias("_region"))
+        out = spread_join(out.drop("true_region"), static, ["id"], "left").withColumn(
+            "true_region", F.coalesce("_region", F.lit(""))
         )
     return add_region_score(out, regions).select(*RESULT_COLUMNS)
 
@@ -75,15 +76,24 @@ def live_accuracy(scored: DataFrame) -> DataFrame:
 
 
 def write_accuracy(accuracy: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current accuracy table in a Parquet folder, replaced after every micro-batch."""
+    """Write the accuracy table after every micro-batch, each time beside the earlier ones.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    ``read_accuracy`` takes the latest, so that there is a table at any time, also after a crash during a write.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         accuracy.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(replace)
+        .foreachBatch(add)
         .start()
     )
+
+
+def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
+    """The latest table of ``write_accuracy``."""
+    tables = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return tables.where(F.col("batch") == tables.agg(F.max("batch")).scalar()).drop("batch")
