@@ -204,3 +204,16 @@ def test_sample_images_end_to_end(spark):
         spark.createDataFrame(present, "filepath string"),
     )
     assert {(r.country, r.ord, r.rank, r.id) for r in out.collect()} == greedy(claims, 3)
+
+
+def test_pixels_far_outside_their_tile(spark):
+    n, (lat, lon), rng = 2**20, (48.1, 11.5), random.Random(3)
+    tx, ty = tile_of(lat, lon, n)
+    pixels = [(float(rng.randrange(-25 * 4096, 25 * 4096)), float(rng.randrange(-25 * 4096, 25 * 4096))) for _ in range(60)]
+    features = [(i, tx, ty, "Point", list(p), str(i + 1)) for i, p in enumerate(pixels)]
+    away = sorted((metres(lat, lon, *place(tx, ty, *p, n)), str(i + 1)) for i, p in enumerate(pixels))
+    found = nearby.nearby_topk(
+        spark.createDataFrame([(0, lat, lon, "x", "y")], COORDS), spark.createDataFrame(features, FEATURES), 500.0, 20, zoom=20
+    )
+    expected = [i for d, i in away if d <= 500][:20]
+    assert len(expected) > 12 and [i for i, _ in collected(found)[0]] == expected

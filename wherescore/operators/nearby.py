@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ _TILE = ["tile_x", "tile_y"]
 # Cells have 64 pixels; a cell of level s is 2**s cells wide, so level 6 is a tile.
 _CELL = 64
 _LEVELS = range(7)
-# Wider than all pixels that are kept: for targets without enough features around them.
-_TOP = 10
-# Tiles to each side of a tile whose pixel lengths are covered by the distance bounds.
+# Tiles to each side of a tile whose pixel lengths the distance bounds cover, at least.
 _BAND = 8
+# Cosine of the latitude at which the tiles end.
+_LAST_COSINE = 0.086
 
 
 def point_features(features: DataFrame) -> DataFrame:
@@ -55,8 +57,19 @@ def locate_features(points: DataFrame, zoom: int = geo.ZOOM) -> DataFrame:
     )
 
 
-def _in_band(pixel: str) -> Column:
-    return F.col(pixel).between(-_BAND * geo.EXTENT, (_BAND + 1) * geo.EXTENT - 1)
+def _band(radius_m: float, zoom: int) -> int:
+    """Tiles to each side of a tile beyond which no feature is within the radius of a place in the tile."""
+    tile_m = 2 * math.pi * geo.EARTH_RADIUS_M / 2**zoom * _LAST_COSINE
+    return max(_BAND, math.ceil(radius_m / tile_m) + 1)
+
+
+def _top(band: int) -> int:
+    """Level whose cells are as wide as all pixels of the band: for targets without enough features around them."""
+    return math.ceil(math.log2((2 * band + 1) * geo.EXTENT / _CELL))
+
+
+def _in_band(pixel: str, band: int) -> Column:
+    return F.col(pixel).between(-band * geo.EXTENT, (band + 1) * geo.EXTENT - 1)
 
 
 def _cell(pixel: str) -> Column:
@@ -80,8 +93,10 @@ def _search_plan(places: DataFrame, points: DataFrame, radius_m: float, limit: i
     A pixel has between ``low`` and ``high`` metres everywhere in the band around the tile, and
     ``_MARGIN`` covers paths that leave it.
     """
+    band = _band(radius_m, zoom)
+    top = _top(band)
     levels = F.explode(F.array(*[F.lit(s) for s in _LEVELS])).alias("s")
-    all_levels = F.explode(F.array(*[F.lit(s) for s in (*_LEVELS, _TOP)])).alias("s")
+    all_levels = F.explode(F.array(*[F.lit(s) for s in (*_LEVELS, top)])).alias("s")
     counts = points.groupBy(*_TILE, "cell_x", "cell_y").agg(F.count("*").alias("n"))
     held = (
         counts.select("*", levels)
@@ -98,8 +113,8 @@ def _search_plan(places: DataFrame, points: DataFrame, radius_m: float, limit: i
         .agg(F.min("_held").alias("s"))
     )
 
-    south = geo.tile_lat("tile_y", F.lit(float((_BAND + 1) * geo.EXTENT)), zoom)
-    north = geo.tile_lat("tile_y", F.lit(float(-_BAND * geo.EXTENT)), zoom)
+    south = geo.tile_lat("tile_y", F.lit(float((band + 1) * geo.EXTENT)), zoom)
+    north = geo.tile_lat("tile_y", F.lit(float(-band * geo.EXTENT)), zoom)
     scales = [geo.metres_per_pixel(edge, zoom) for edge in (south, north)]
     # A band across the equator holds the longest pixel inside.
     equator = F.when(south * north < 0, geo.metres_per_pixel(F.lit(0.0), zoom)).otherwise(F.lit(0.0))
@@ -112,7 +127,7 @@ def _search_plan(places: DataFrame, points: DataFrame, radius_m: float, limit: i
     steps = F.array(*[F.lit(i) for i in range(-2, 3)])
     asked = (
         bounded.withColumn("reach", reach)
-        .withColumn("s", F.coalesce("s", F.lit(_TOP)))
+        .withColumn("s", F.coalesce("s", F.lit(top)))
         .withColumn("du", F.explode(steps))
         .withColumn("dv", F.explode(steps))
         .select(*at, "reach", "s", (_coarse("at_x") + F.col("du")).alias("u"), (_coarse("at_y") + F.col("dv")).alias("v"))
@@ -144,14 +159,15 @@ def nearby_topk(
     """The ``limit`` nearest point features of each coordinate within the radius, ranked from 1.
 
     ``coords`` has a unique ``ord``, lat and lon; features are searched in the tile of the coordinate,
-    with ``neighbors`` also in the eight tiles around it. Equal distances rank by feature_pos. Pixels
-    more than eight tiles away from their tile are not valid and are left out.
+    with ``neighbors`` also in the eight tiles around it. Equal distances rank by feature_pos. Pixels may lie
+    outside their tile; those that are too far from it to be within the radius of any place in it are cut early.
 
     Work per coordinate does not grow with the tile: copies at one pixel are cut to ``limit`` before
     they are shuffled, and of the remaining features only those in grid cells near enough to matter
     are paired. A tile that holds much of the data is split by cell, and by adaptive execution.
     """
-    points = point_features(features).where(_in_band("px") & _in_band("py"))
+    band = _band(radius_m, zoom)
+    points = point_features(features).where(_in_band("px", band) & _in_band("py", band))
     pixel = Window.partitionBy("tile_x", "tile_y", "px", "py").orderBy("feature_pos")
     points = points.withColumn("_copy", F.row_number().over(pixel)).where(F.col("_copy") <= limit)
     points = points.withColumns({"cell_x": _cell("px"), "cell_y": _cell("py")})
