@@ -190,7 +190,8 @@ def test_main_text(spark):
 def test_mixing(docs, none, spark):
     labelled = docs.select("doc_id", F.col("lang").alias("domain"))
     found = mixing.rates(docs, labelled, mixing.TARGETS).collect()
-    assert len(found) == 9 and sum(r.copies for r in found) == 11  # two rows are the same, so are two without text and id
+    assert len(found) == 10 and sum(r.copies for r in found) == 11  # two rows are the same
+    assert all(0 <= r.rate <= 8 for r in found)
     assert mixing.rates(none, none.select("doc_id", F.col("lang").alias("domain")), mixing.TARGETS).count() == 0
     grown = mixing.resample(docs, mixing.rates(docs, labelled, mixing.TARGETS, least=1.0, grow=True))
     assert grown.columns == docs.columns and grown.distinct().count() == docs.distinct().count()

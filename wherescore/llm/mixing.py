@@ -74,12 +74,13 @@ def rates(
     targets: Mapping[str, float],
     least: float = 0.0,
     grow: bool = False,
+    most: float = 8.0,
     max_rows: int = MAX_TRAINING_ROWS,
 ) -> DataFrame:
     """One row per distinct row of ``docs``: row keys, doc_id, copies, tokens, p_0 ... (domains in order of name), rate.
 
     Minimises the squared relative gaps between the domains' expected totals (sum of rate x tokens x posterior) and
-    their targets over rates of at least ``least``, starting from 1. The targets' sum is the present number of tokens, or
+    their targets over rates from ``least`` to ``most``, starting from 1; a domain with too few documents stays short. The targets' sum is the present number of tokens, or
     with ``grow`` the least with which no domain shrinks. Each step aggregates one total per domain; the step of a
     document follows from these and from its own posterior, so no rates are gathered. An empty table gives no rows.
     """
@@ -96,12 +97,12 @@ def rates(
     rate: Column = F.lit(1.0)
     for _ in range(STEPS):
         reached = [x or 0.0 for x in rows.agg(*[F.sum(m * rate) for m in mass]).first()]
-        gap = [(r - w) / a if a else 0.0 for r, w, a in zip(reached, wanted, present, strict=True)]
+        gap = [max(-1e6, min(1e6, (r - w) / a)) if a else 0.0 for r, w, a in zip(reached, wanted, present, strict=True)]
         if max(abs(r - w) for r, w in zip(reached, wanted, strict=True)) <= TOLERANCE * max(total, 1.0):
             break
         gaps.append(gap)
         steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in gaps])
-        step = lambda r, g: F.greatest(F.lit(float(least)), r - sum((F.get(g, F.lit(k)) * x for k, x in enumerate(p)), F.lit(0.0)))
+        step = lambda r, g: F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), r - sum((F.get(g, F.lit(k)) * x for k, x in enumerate(p)), F.lit(0.0))))
         rate = F.aggregate(steps, F.lit(1.0), step)
     return rows.withColumn("rate", rate)
 

@@ -170,8 +170,9 @@ def descend(
         scores, plus, minus = (np.bincount(r, w[c], n) for r, c in parts)
         error = (1 / (1 + np.exp(-np.clip(bias + scores, -500, 500))) - toxic) / n
         change = 2 * fairness * (plus - minus) / n
-        gradient = sum(np.bincount(c, sign * x[r], size) for (r, c), x, sign in zip(parts, (error, change, change), (1, 1, -1), strict=True))
-        gradient += 2 * ridge * w
+        gradient = 2 * ridge * w
+        for (r, c), x in zip(parts, (error, change, -change), strict=True):
+            gradient = gradient + np.bincount(c, x[r], size)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         g = error.sum()
         fb, sb = 0.9 * fb + 0.1 * g, 0.999 * sb + 0.001 * g * g
