@@ -53,7 +53,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     """
     seeds = benchmark_seeds(benchmark)
     words = docs.select(*row_key(), "doc_id", tokens(whole_text()).alias("words"))
-    places = words.select("*", F.posexplode("words").alias("pos", "_first")).where(F.col("pos") <= F.size("words") - SPAN)
+    places = words.select("*", F.posexplode_outer("words").alias("pos", "_first")).where(F.col("pos") <= F.size("words") - SPAN)
+    # The outer form: else Spark infers a filter on the array's size, for which it splits each text once more.
     seed = F.explode(F.array(*_seeds("words", F.col("pos")))).alias("seed")
     start = F.col("pos") - F.col("at")
     # The document's tokens beside the item's, from the token ``skipped`` of the item on.

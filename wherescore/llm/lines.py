@@ -84,7 +84,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split_lines(docs: DataFrame) -> DataFrame:
     """Lines of all rows: _id, _row_hash, at (from 0), line, hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), row_key()[1], whole_text().alias("_text"))
-    found = rows.select("_id", "_row_hash", F.posexplode(F.split("_text", "\n")).alias("at", "line"))
+    found = rows.select("_id", "_row_hash", F.posexplode_outer(F.split("_text", "\n")).alias("at", "line"))
     return found.withColumn("hash", F.xxhash64("line"))
 
 

@@ -30,7 +30,7 @@ def words(text: Column) -> Column:
 
 def word_weights(labelled: DataFrame, domains: list[str], size: int = VOCABULARY) -> DataFrame:
     """Multinomial naive Bayes: word, and weights w_0 ... (log odds against the mean domain) of the most telling words."""
-    exploded = labelled.select("domain", F.explode(words(F.col("text"))).alias("word")).where("word != ''")
+    exploded = labelled.select("domain", F.explode_outer(words(F.col("text"))).alias("word")).where("word != ''")
     per = [F.count_if(F.col("domain") == d).alias(f"n_{k}") for k, d in enumerate(domains)]
     counts = exploded.groupBy("word").agg(*per, F.count("*").alias("n")).where("n >= 5")
     sums = counts.agg(*[F.sum(f"n_{k}") for k in range(len(domains))]).first()
@@ -54,7 +54,8 @@ def memberships(docs: DataFrame, weights: DataFrame, domains: list[str]) -> Data
 
     Tokens are runs of letters. A text without known words, an empty or a null one has equal posteriors.
     """
-    tokens = docs.select(*row_key(), "doc_id", F.posexplode(words(whole_text())).alias("_at", "word"))
+    # The outer form: else Spark infers a filter on the array's size, for which it splits each text once more.
+    tokens = docs.select(*row_key(), "doc_id", F.posexplode_outer(words(whole_text())).alias("_at", "word"))
     known = tokens.join(F.broadcast(weights), "word", "left")
     copies = F.count_if(F.col("_at") == 0)
     sums = known.groupBy(*ROW_KEY, "doc_id").agg(
