@@ -14,10 +14,15 @@ _BUCKET_BITS = 8 * 4096  # of bitmap_construct_agg
 
 
 def surviving(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose values in the columns of ``keys`` may be in ``keys``, found without moving the rows.
+    """Rows whose values in the columns of ``keys`` may be in ``keys``, found without moving the rows."""
+    return marked(rows, keys, bits).where("_maybe").select(rows.columns)
+
+
+def marked(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with ``_maybe``: whether their values in the columns of ``keys`` may be in ``keys``.
 
     The keys are folded into a bitmap of ``bits`` bits, so at most bits / 8 bytes are broadcast whatever the input.
-    A few rows may pass that are not in ``keys``; none is lost.
+    A few rows are marked that are not in ``keys``; all others are marked rightly.
     """
     slot = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
     bitmap = (
@@ -31,10 +36,9 @@ def surviving(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> Data
     return (
         rows.withColumn("_slot", slot)
         .withColumn("_bucket", F.bitmap_bucket_number("_slot"))
-        .join(F.broadcast(bitmap), "_bucket")
+        .join(F.broadcast(bitmap), "_bucket", "left")
         .withColumn("_byte", byte)
-        .where(bit == 1)
-        .select(rows.columns)
+        .select(*rows.columns, F.coalesce(bit == 1, F.lit(False)).alias("_maybe"))
     )
 
 

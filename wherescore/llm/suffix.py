@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wherescore.llm.common import ROW_KEY, row_key, whole_text
+from wherescore.llm.exact import marked
 from wherescore.operators.joins import spread_join
 from wherescore.sources.scratch import settle
 
@@ -179,7 +180,7 @@ class _Rows:
     def ranges(self, kind: int, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
         n = len(row)
         ids = np.where(self.ids[row] == _NULL_ID, 0, self.ids[row])
-        bucket = (self.row_hash[row].view(np.uint64) % np.uint64(self.buckets)).astype(np.int32)
+        bucket = (mixed(self.ids[row].view(np.uint64)) % np.uint64(self.buckets)).astype(np.int32)
         columns = [bucket, pa.nulls(n, pa.binary()), ids, self.row_hash[row], np.full(n, kind, np.int32), first.astype(np.int32), last.astype(np.int32)]
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in _OUT.split(", ")])
 
@@ -340,8 +341,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     than all others; rows of equal ids do not cover each other. Null texts are empty, texts under 50 bytes stay whole.
     An empty table gives no rows; columns other than doc_id and text are not looked at.
     """
-    rows = docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    # Only rows of repeated or missing ids need more than their id to be told apart; zeros take no room in the records.
+    repeated = given.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    row_id, row_hash = row_key()
+    alone = ~F.col("_maybe") & F.col("doc_id").isNotNull()
+    own_hash = F.when(alone, F.lit(0)).otherwise(row_hash).alias("_row_hash")
+    rows = marked(given, settle(repeated)).select(row_id, own_hash, "doc_id", "text")
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     anchors = rows.select("_row_hash", "doc_id", "text").mapInArrow(_first_buckets(buckets), _OUT)
     decided = settle(anchors.groupBy("bucket").applyInArrow(_refine_stretches, _OUT).select(*ROW_KEY, "kind", "first", "last"))
@@ -351,6 +358,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     strings = spread_join(rows, still, ROW_KEY, "inner").select("_row_hash", "doc_id", "text", "open")
     refined = strings.mapInArrow(_strings(buckets), _OUT).groupBy("bucket").applyInArrow(_refine_strings, _OUT)
     covered = decided.where(F.col("kind") == _COVERED).unionByName(refined.select(*ROW_KEY, "kind", "first", "last"))
-    of_row = covered.distinct().groupBy(*ROW_KEY).agg(ranges.alias("ranges"))
+    of_row = covered.groupBy(*ROW_KEY).agg(ranges.alias("ranges"))
     joined = spread_join(rows, of_row, ROW_KEY, "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
