@@ -28,6 +28,8 @@ BANDS, ROWS = 14, 5
 #: Of 32 sketch bits, a pair of similarity 0.8 differs in 3.2 on average, with a deviation of 1.7.
 SKETCH_BITS = 10
 _VALUE_BITS = 43
+#: Characters that are worked on at a time, so that the arrays stay in the processor's cache.
+_SLICE = 1 << 17
 _NONE = np.uint64((1 << 64) - 1)
 
 
@@ -63,9 +65,22 @@ def signatures(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np
     return out, different
 
 
+def _slices(lines: list[str], size: int = _SLICE) -> Iterator[list[str]]:
+    begin = total = 0
+    for k, line in enumerate(lines):
+        if total and total + len(line) > size:
+            yield lines[begin:k]
+            begin, total = k, 0
+        total += len(line) + 1
+    if begin < len(lines):
+        yield lines[begin:]
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values, different = signatures(batch.column("line").to_pylist())
+        found = [signatures(part) for part in _slices(batch.column("line").to_pylist())]
+        values = np.concatenate([np.empty((0, BANDS * ROWS), np.uint64), *(f[0] for f in found)])
+        different = np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)])
         mixed_values = mixed(values + np.uint64(1))
         folded = np.zeros((len(values), BANDS), np.uint64)
         for k in range(ROWS):
