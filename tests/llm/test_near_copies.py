@@ -1,0 +1,76 @@
+"""Near copies of the pipeline: all pairs at a five-word Jaccard similarity of 0.8, whatever their fingerprints."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from wherescore.llm import similar, simhash
+
+
+def words_of(text):
+    return (text or "").lower().split()
+
+
+def jaccard(a, b, width=5):
+    first, second = ({tuple(x[k : k + width]) for k in range(max(1, len(x) - width + 1))} for x in map(words_of, (a, b)))
+    return len(first & second) / len(first | second)
+
+
+def kept_ids(texts):
+    """Ids of a plain version that compares all pairs."""
+    label = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and label[a] != label[b] and 5 * jaccard(texts[a], texts[b]) >= 4 - 1e-9:
+                x, y = sorted((label[a], label[b]))
+                label = {i: x if k == y else k for i, k in label.items()}
+    return sorted(set(label.values()))
+
+
+def corpus():
+    draw = random.Random(7)
+    new = lambda n: [f"w{draw.randrange(400)}" for _ in range(n)]
+    shared, texts = new(60), []
+    for n in (1, 4, 5, 6, 9, 14, 30, 60, 120, 240):
+        for _ in range(4):
+            base = new(n)
+            texts.append(base)
+            for edits in range(1, 5):
+                copy = list(base)
+                for _ in range(edits * max(1, n // 60)):
+                    copy[draw.randrange(n)] = f"x{draw.randrange(10**6)}"
+                texts.append(copy)
+                texts.append(base[: n - edits * n // 20] + new(edits * n // 40))
+    texts += [shared + new(40) for _ in range(12)]  # a passage in common is no near copy
+    return {i: " ".join(t).upper() if i % 9 == 0 else "  ".join(t) for i, t in enumerate(texts)} | {9001: "", 9002: " \n"}
+
+
+@pytest.mark.parametrize("common", [4, 10**9])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(similar, "COMMON", common)  # the order of shingles must not change the result
+    texts = corpus()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == kept_ids(texts)
+    by_fingerprint = {r.doc_id for r in simhash.keep_one(docs, 5).collect()}
+    assert len(by_fingerprint) > len(kept_ids(texts)) + 10  # four bits are not enough
+
+
+def test_near_copies_in_a_chain(spark):
+    """Neighbours are alike, ends are not, and the least and the greatest text of a shingle do not join all."""
+    base = [f"w{k}" for k in range(400)]
+    texts = {k: " ".join(base[3 * k : 3 * k + 60]) for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r.doc_id for r in similar.keep_one(docs, 5).collect()] == kept_ids(texts) == [0]
+
+
+def test_rows_that_near_copies_keep(spark):
+    rows = [(3, "a b c d e f"), (None, "a b c d e f"), (2, None), (2, None), (None, "other words"), (7, "A b  c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    assert sorted(map(str, similar.keep_one(docs, 5).collect())) == sorted(
+        ["Row(doc_id=3, text='a b c d e f', n=1)", "Row(doc_id=2, text=None, n=1)", "Row(doc_id=None, text='other words', n=1)"]
+    )
+    assert similar.keep_one(docs.limit(0), 5).count() == 0
