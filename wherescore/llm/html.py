@@ -40,7 +40,12 @@ _PARTS = (
     "replies|disqus|pagination|pager|toolbar|widget|complementary|contentinfo|search"
 )
 _MARKED = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?:$|[\s_-])", re.I)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An attribute, or the bracket that ends its tag. Within a value the other kind of quote is plain text; a quote that is never
+#: closed, or that does not begin a value, is plain text too.
+_ATTRIBUTE = re.compile(
+    r"""[\s/]*+(?:(?P<end>>)|(?P<name>[^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"(?P<double>[^"]*+)"|'(?P<single>[^']*+)'|(?P<bare>[^\s>]*+)))?)"""
+)
+_KIND = re.compile(r"\b(?:class|id|role|hidden)$", re.I)
 #: Names that say what a page lacks or has around its content.
 _ABOUT = re.compile(r"(?:^|\s)(?:no|has|with|without)[-_]\S*", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -54,16 +59,18 @@ class Line:
     other: bool  # part of a menu, footer, advert ...
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Place after the tag that begins at ``at``; a bracket within quotes does not end it."""
-    end = page.find(">", at)
-    while end >= 0:
-        body = page[at:end]
-        if body.count('"') % 2 == 0 and body.count("'") % 2 == 0 or end - at > 4096:
-            return end + 1
-        end = page.find(">", end + 1)
-    first = page.find(">", at)
-    return first + 1 if first >= 0 else len(page)
+def _attributes(page: str, at: int) -> tuple[int, list[str]]:
+    """Place after the tag whose attributes begin at ``at``, and its values of class, id, role and hidden."""
+    values: list[str] = []
+    while found := _ATTRIBUTE.match(page, at):
+        at = found.end()
+        if found["end"]:
+            return at, values
+        if _KIND.search(found["name"]):
+            value = next((v for v in found.group("double", "single", "bare") if v is not None), None)
+            if value is not None:
+                values.append(value)
+    return len(page), values
 
 
 def lines(page: str) -> list[Line]:
@@ -107,9 +114,9 @@ def lines(page: str) -> list[Line]:
                 while (closed := stack.pop()[0]) != name:
                     opened[closed] -= 1
                 opened[name] -= 1
-        elif follow.isalpha():
-            at = _tag_end(page, begin)
-            name = _NAME.match(page, begin + 1)[0].lower()
+        elif tag := _NAME.match(page, begin + 1):
+            name = tag[0].lower()
+            at, values = _attributes(page, tag.end())
             if name == "br":
                 buffer.append(" ")
             if name in BLOCKS:
@@ -123,8 +130,7 @@ def lines(page: str) -> list[Line]:
                     _, inside, other = stack.pop()
                     opened[name] -= 1
                 marked = name in DROPPED and not (name == "header" and inside)
-                for kind, *values in _ATTRIBUTE.findall(page, begin, at):
-                    value = "".join(values)
+                for value in values:
                     marked |= bool(_MARKED.search(_ABOUT.sub(" ", value))) and not (name in ("html", "body", "article", "main"))
                 begins = name in ("article", "main") and not other
                 if (marked and not other) or (begins and not inside):
