@@ -75,14 +75,16 @@ def rates(
     targets: Mapping[str, float],
     least: float = 0.0,
     grow: bool = False,
-    most: float = 8.0,
+    most: float | None = 8.0,
     max_rows: int = MAX_TRAINING_ROWS,
 ) -> DataFrame:
     """One row per distinct row of ``docs``: row keys, doc_id, copies, tokens, p_0 ... (domains in order of name), rate.
 
     Minimises the squared relative gaps between the domains' expected totals (sum of rate x tokens x posterior) and
-    their targets over rates from ``least`` to ``most``, starting from 1; a domain with too few documents stays short. The targets' sum is the present number of tokens, or
-    with ``grow`` the least with which no domain shrinks. Each step aggregates one total per domain; the step of a
+    their targets over rates from ``least`` to ``most`` (None: without a bound), starting from 1; with a bound, a domain with
+    too few documents stays short. The targets' sum is the present number of tokens, or with ``grow`` the least with which
+    no domain shrinks. A domain that no text with tokens more likely belongs to than not has leaked posteriors only: it
+    has no target, and those of the others share the sum. Each step aggregates one total per domain; the step of a
     document follows from these and from its own posterior, so no rates are gathered. An empty table gives no rows.
     """
     domains = sorted(targets)
@@ -90,20 +92,24 @@ def rates(
     rows = settle(memberships(docs, settle(weights), domains))
     p = [F.col(f"p_{k}") for k in range(len(domains))]
     mass = [F.col("copies") * F.col("tokens") * x for x in p]
-    present = [x or 0.0 for x in rows.agg(*[F.sum(m) for m in mass]).first()]
-    shares = [targets[d] / sum(targets.values()) for d in domains]
-    total = max(a / s for a, s in zip(present, shares, strict=True) if s) if grow else sum(present)
+    sums = rows.agg(*[F.sum(m) for m in mass], *[F.sum(F.when(x > 0.5, m)) for x, m in zip(p, mass, strict=True)]).first()
+    present, own = ([x or 0.0 for x in part] for part in (sums[: len(p)], sums[len(p) :]))
+    real = [k for k, x in enumerate(own) if x > 0]
+    weight = sum(targets[domains[k]] for k in real)
+    shares = [targets[d] / weight if k in real and weight else 0.0 for k, d in enumerate(domains)]
+    total = max((a / s for a, s in zip(present, shares, strict=True) if s), default=0.0) if grow else sum(present)
     wanted = [total * s for s in shares]
     gaps: list[list[float]] = []  # relative gap of each domain, step by step
+    above = lambda r: F.greatest(F.lit(float(least)), r)
+    bounded = above if most is None else lambda r: F.least(F.lit(float(most)), above(r))
     rate: Column = F.lit(1.0)
     for _ in range(STEPS):
         reached = [x or 0.0 for x in rows.agg(*[F.sum(m * rate) for m in mass]).first()]
-        gap = [max(-1e6, min(1e6, (r - w) / a)) if a else 0.0 for r, w, a in zip(reached, wanted, present, strict=True)]
-        if max(abs(r - w) for r, w in zip(reached, wanted, strict=True)) <= TOLERANCE * max(total, 1.0):
+        if all(abs(reached[k] - wanted[k]) <= TOLERANCE * max(total, 1.0) for k in real):
             break
-        gaps.append(gap)
+        gaps.append([(reached[k] - wanted[k]) / present[k] if k in real else 0.0 for k in range(len(p))])
         steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in gaps])
-        step = lambda r, g: F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), r - sum((F.get(g, F.lit(k)) * x for k, x in enumerate(p)), F.lit(0.0))))
+        step = lambda r, g: bounded(r - sum((F.get(g, F.lit(k)) * x for k, x in enumerate(p)), F.lit(0.0)))
         rate = F.aggregate(steps, F.lit(1.0), step)
     return rows.withColumn("rate", rate)
 

@@ -86,7 +86,7 @@ def domain_labels(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFram
 @query
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = mixing.rates(docs, domain_labels(spark, sf_dir, docs), mixing.TARGETS)
+    found = mixing.rates(docs, domain_labels(spark, sf_dir, docs), mixing.TARGETS, most=None)
     posteriors = [F.bround(f"p_{k}", 6).alias(f"p_{d}") for k, d in enumerate(sorted(mixing.TARGETS))]
     return found.select("doc_id", "tokens", *posteriors, F.bround("rate", 6).alias("rate"))
 
