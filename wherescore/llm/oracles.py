@@ -60,6 +60,101 @@ SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, sum(
 FROM (SELECT doc_id, item_id, count(*) AS n FROM verified GROUP BY ALL) GROUP BY doc_id
 """
 
+MIDDLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), n AS (
+  SELECT *, len(t) AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS r FROM d
+), c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90
+              THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM n
+), p AS (
+  SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:], '') AS suffix
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+#: Trees as lists of digests, level by level.
+MANIFEST = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, text, lang, n_chars,
+         CASE WHEN crc32 % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered
+  FROM (SELECT *, {crc} AS crc32 FROM documents)
+), e AS (
+  SELECT doc_id, source, {leaf} AS leaf, {seen} AS seen FROM r
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM e
+), t AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM o GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, {up} FROM t WHERE len(nodes) > 1
+), roots AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM t WHERE len(nodes) = 1
+), u AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM roots
+  UNION ALL
+  SELECT level + 1, {up} FROM u WHERE len(nodes) > 1
+), steps AS (
+  SELECT o.source, o.idx, t.level, {sides} FROM o JOIN t ON t.source IS NOT DISTINCT FROM o.source WHERE len(t.nodes) > 1
+), low AS (
+  SELECT source, idx, list(l ORDER BY level) AS b, list(x ORDER BY level) AS a FROM steps GROUP BY ALL
+), top AS (
+  SELECT place, list(l ORDER BY level) AS b, list(x ORDER BY level) AS a
+  FROM (SELECT o.place, u.level, {top_sides} FROM roots o, u WHERE len(u.nodes) > 1) GROUP BY ALL
+), paths AS (
+  SELECT o.doc_id, o.leaf, o.seen, roots.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root,
+         coalesce(low.b, []) || coalesce(top.b, []) AS b, coalesce(low.a, []) || coalesce(top.a, []) AS a
+  FROM o JOIN roots ON roots.source IS NOT DISTINCT FROM o.source
+  LEFT JOIN low ON low.source IS NOT DISTINCT FROM o.source AND low.idx = o.idx LEFT JOIN top ON top.place = roots.place
+), f AS (
+  SELECT *, list_reduce([seen] || list_transform(b, lambda x, i: x || '|' || a[i]),
+    lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root
+  FROM paths
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(b, lambda x, i: x || a[i]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM f
+"""
+
+
+def merkle() -> str:
+    def leaf(text: str) -> str:
+        columns = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns) + ")"
+
+    def sides(nodes: str, place: str, level: str) -> str:
+        at = f"({place} // (3 ** {level})::BIGINT)"
+        run = f"({at} - {at} % 3)"
+        return (
+            f"array_to_string({nodes}[{run} + 1:{at}], '') AS l, array_to_string({nodes}[{at} + 2:{run} + 3], '') AS x"
+        )
+
+    # DuckDB has no crc32: eight steps for each byte of the id's digits.
+    crc = (
+        "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), "
+        "lambda x: ascii(x)::BIGINT), lambda a, x: list_reduce([xor(a, x)] || range(8), "
+        "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
+    )
+    up = "list_transform(range(0, len(nodes), 3), lambda k: sha256(array_to_string(nodes[k + 1:k + 3], '')))"
+    return MANIFEST.format(
+        crc=crc,
+        leaf=leaf("text"),
+        seen=leaf("tampered"),
+        up=up,
+        sides=sides("t.nodes", "o.idx", "t.level"),
+        top_sides=sides("u.nodes", "o.place", "u.level"),
+    )
+
 
 def leaks(docs: str) -> str:
     masks = ", ".join(
@@ -75,4 +170,6 @@ def sql() -> dict[str, str]:
         ),
         "op5_decontaminate": leaks("documents"),
         "op4_exact_dedup": EXACT,
+        "op11_fill_in_middle": MIDDLE,
+        "op13_merkle_manifest": merkle(),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wherescore.llm import decontaminate, exact, html, lines, mixing, pii, sharding, simhash, suffix, toxicity
+from wherescore.llm import decontaminate, exact, html, lines, manifest, middle, mixing, pii, sharding, simhash, suffix, toxicity
 from wherescore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,25 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_components(documents(spark, sf_dir)).drop("_row_hash")
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(documents(spark, sf_dir))
+    digests = [F.sha2(c.cast("binary"), 256) for c in (F.col("output"), middle.restored())]
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digests[0].alias("output_sha256"), digests[1].alias("restored_sha256")
+    )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    tampered = F.when(drawn, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest.manifest(documents(spark, sf_dir), tampered=tampered)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof().alias("proof_sha256"), manifest.folded("seen").alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
