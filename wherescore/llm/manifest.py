@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from wherescore.operators.joins import spread_join
 from wherescore.operators.prefix import numbered
@@ -144,18 +144,6 @@ def _digest(slots: pa.Array, size: pa.Array) -> pa.Array:
     return pa.array([_levels(s, n)[-1][0] for s, n in pairs], pa.string())
 
 
-_TEXTS = ArrayType(StringType())
-
-
-@F.arrow_udf(ArrayType(StructType([StructField("before", _TEXTS), StructField("after", _TEXTS)])))
-def _paths(slots: pa.Array, size: pa.Array) -> pa.Array:
-    rows = []
-    for s, n in zip(slots.to_pylist(), size.to_pylist(), strict=True):
-        rows.append([{"before": b, "after": a} for b, a in _steps(_levels(s, n))])
-    texts = pa.list_(pa.string())
-    return pa.array(rows, pa.list_(pa.struct([("before", texts), ("after", texts)])))
-
-
 def slot_arrays(nodes: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
     """Arrays of SLOTS nodes at most, keyed by tree and array number: tree, idx, size, slots, carried, digest.
 
@@ -169,28 +157,30 @@ def slot_arrays(nodes: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
     return settle(arrays.withColumn("digest", _digest("slots", "size")))
 
 
-def _paths_below(arrays: DataFrame, above: DataFrame | None) -> DataFrame:
-    """Path of each slot to the tree's root: tree, idx (of the slot), before, after, carried."""
-    slots = arrays.select("tree", "idx", "carried", F.posexplode(_paths("slots", "size")).alias("slot", "path"))
-    here = slots.select(
-        "tree",
-        F.col("idx").alias("_array"),
-        (F.col("idx") * SLOTS + F.col("slot")).alias("idx"),
-        F.get("carried", F.col("slot")).alias("carried"),
-        F.col("path.before").alias("before"),
-        F.col("path.after").alias("after"),
-    )
-    if above is None:
-        return here.drop("_array")
-    upper = above.select("tree", F.col("idx").alias("_array"), F.col("before").alias("_b"), F.col("after").alias("_a"))
-    joined = spread_join(here, upper, ["tree", "_array"], "inner")
-    return joined.select(
-        "tree", "idx", "carried", F.concat("before", "_b").alias("before"), F.concat("after", "_a").alias("after")
-    )
+def _slot_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path of each slot, its array's own path at the end; a batch of rows for each array, so that one array's paths are held."""
+    texts = pa.list_(pa.string())
+    for batch in batches:
+        carried = batch.column("carried")
+        rows = zip(*(batch.column(c).to_pylist() for c in _ARRAY), strict=True)
+        for k, (tree, array, size, slots, before, after, top) in enumerate(rows):
+            steps, n = _steps(_levels(slots, size)), len(slots)
+            columns = [
+                pa.array([tree] * n, pa.string()),
+                pa.array(range(array * SLOTS, array * SLOTS + n), pa.int64()),
+                carried[k].values,
+                pa.array([s[0] + before for s in steps], texts),
+                pa.array([s[1] + after for s in steps], texts),
+                pa.array([top] * n, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["tree", "idx", "carried", "before", "after", "top"])
 
 
-def trees(nodes: DataFrame, payload: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Paths of all nodes (tree, idx, carried, before, after) and root of each tree (tree, root).
+_ARRAY = ("tree", "idx", "size", "slots", "before", "after", "top")
+
+
+def rising(nodes: DataFrame, payload: Sequence[str]) -> list[DataFrame]:
+    """Slot arrays of all passes, leaves first; the last one has one array for each tree, with its root as digest.
 
     One pass for each LEVELS levels of the largest tree; smaller trees are done earlier and go along as one node.
     """
@@ -200,11 +190,20 @@ def trees(nodes: DataFrame, payload: Sequence[str]) -> tuple[DataFrame, DataFram
         largest = -(-largest // SLOTS)
         size = F.when(F.col("size") > SLOTS, F.expr(f"(size + {SLOTS - 1}) div {SLOTS}")).otherwise(1).cast("long")
         passes.append(slot_arrays(passes[-1].select("tree", "idx", size.alias("size"), "digest")))
-    roots = passes[-1].select("tree", F.col("digest").alias("root"))
-    paths = None
+    return passes
+
+
+def falling(passes: Sequence[DataFrame], above: DataFrame) -> DataFrame:
+    """Path of each leaf: tree, idx, carried, before, after, top. ``above`` has tree, idx, before, after, top of each root.
+
+    Paths are handed down to arrays before these are taken apart, so that an exchange moves arrays, not a path for each leaf.
+    """
     for arrays in reversed(passes):
-        paths = _paths_below(arrays, paths)
-    return paths, roots
+        carried = arrays.schema["carried"].dataType.elementType.simpleString()
+        schema = f"tree string, idx long, carried {carried}, before array<string>, after array<string>, top string"
+        handed = spread_join(arrays, above.select("tree", "idx", "before", "after", "top"), ["tree", "idx"], "inner")
+        above = handed.select(*_ARRAY, "carried").mapInArrow(_slot_paths, schema)
+    return above
 
 
 def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, tampered: Column | None = None) -> DataFrame:
@@ -225,24 +224,30 @@ def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, tampered: Column
     rows = settle(
         docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("id"), leaf(own).alias("digest"), other.alias("seen"))
     )
-    paths, subroots = trees(placed(rows), ["id", "seen", "digest"])
-    tops = numbered(settle(subroots.withColumn("digest", F.col("root"))), [], ["tree"], "idx")
+    passes = rising(placed(rows), ["id", "seen", "digest"])
+    subroots = passes[-1].select("tree", "digest")
     count = subroots.groupBy().agg(F.count("*").alias("size"))
-    tops = tops.crossJoin(count).select(F.lit("").alias("tree"), "idx", "size", "digest", F.col("tree").alias("of"))
-    top_paths, roots = trees(tops, ["of", "digest"])
-    of_source = top_paths.select(
-        F.col("carried.of").alias("tree"), F.col("carried.digest").alias("subroot"), F.col("before").alias("_b"), F.col("after").alias("_a")
-    ).crossJoin(roots.select("root"))
-    joined = spread_join(paths, of_source, ["tree"], "inner")
-    return joined.select(
+    tops = numbered(subroots, [], ["tree"], "idx").crossJoin(F.broadcast(count))
+    top_passes = rising(tops.select(F.lit("").alias("tree"), "idx", "size", "digest", F.col("tree").alias("of")), ["of", "digest"])
+    roots = top_passes[-1].select("digest")  # one row, none for an empty table
+    none = F.array().cast("array<string>")
+    over = roots.select(F.lit("").alias("tree"), F.lit(0).cast("long").alias("idx"), none.alias("before"), none.alias("after"), F.col("digest").alias("top"))
+    sources = falling(top_passes, over).select(
+        F.col("carried.of").alias("tree"),
+        F.lit(0).cast("long").alias("idx"),
+        "before",
+        "after",
+        F.concat("carried.digest", "top").alias("top"),
+    )
+    return falling(passes, sources).select(
         F.col("carried.id").alias("doc_id"),
         F.when(F.col("tree") != "", F.substring("tree", 2, (1 << 31) - 1)).alias("source"),
         F.col("carried.digest").alias("leaf"),
         "idx",
-        F.concat("before", "_b").alias("before"),
-        F.concat("after", "_a").alias("after"),
-        "subroot",
-        "root",
+        "before",
+        "after",
+        F.substring("top", 1, 64).alias("subroot"),
+        F.substring("top", 65, 64).alias("root"),
         F.coalesce("carried.seen", "carried.digest").alias("seen"),
     )
 
