@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wherescore.llm import decontaminate, exact, html, lines, manifest, middle, mixing, pii, sharding, simhash, suffix, toxicity
+from wherescore.llm import decontaminate, exact, html, lines, manifest, middle, mixing, ngrams, pii, sharding, simhash, suffix, toxicity
 from wherescore.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_documents(documents(spark, sf_dir)).rows
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
