@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherescore.llm.common import whole_text
+from wherescore.llm.common import repeated, whole_text
 from wherescore.operators.joins import spread_join
 
 #: Bits of the filter that says which (length, prefix hash) can still have a copy; 8 bits to a byte are broadcast: 1 MB.
@@ -78,11 +78,14 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     )  # repeated ids are counted, so that no group of equal rows is gathered
     joined = spread_join(ids, exact_groups(docs, prefix_chars), ["text_sha256"], "left")
     same = F.col("doc_id").eqNullSafe(F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
-    return joined.select(
+    counted = joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         same.alias("_same"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("_copy"),
+        "count",
         "text_sha256",
-    ).select("doc_id", "keep_id", "group_size", (F.col("_same") & (F.col("_copy") == 1)).alias("kept"), "text_sha256")
+    )
+    return repeated(counted, "count", "_copy").select(
+        "doc_id", "keep_id", "group_size", (F.col("_same") & (F.col("_copy") == 0)).alias("kept"), "text_sha256"
+    )

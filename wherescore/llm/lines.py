@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherescore.llm.common import row_key, whole_text
+from wherescore.llm.common import ROW_KEY, packed, row_key, whole_text
 from wherescore.llm.components import components
 from wherescore.llm.exact import surviving
 from wherescore.llm.suffix import mixed
@@ -201,18 +201,11 @@ def _decisions(signed: DataFrame, lines: DataFrame, labels: DataFrame) -> DataFr
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines of each text that stay; a text of which no line stays is empty. Null texts become empty."""
-    text = F.col("text")
     kept = line_components(docs).where("kept").select("doc_id", "_row_hash", F.col("line").alias("at")).distinct()
-    places = kept.groupBy("doc_id", "_row_hash").agg(F.collect_set("at").alias("_places"))  # lines of one text
-    id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_row_id")
-    joined = spread_join(
-        docs.withColumn("text", whole_text()).select("*", id_key, row_key()[1]),
-        places.select(id_key, "_row_hash", "_places"),
-        ["_row_id", "_row_hash"],
-        "left",
-    )
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    chosen = F.filter(numbered, lambda s: F.array_contains("_places", s["i"]))
-    names = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rebuilt = F.coalesce(F.array_join(F.transform(chosen, lambda s: s["x"]), "\n"), F.lit(""))
-    return joined.select(*names, rebuilt.alias("text")).select(docs.columns)
+    places = kept.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_row_id"), "_row_hash").agg(
+        F.sort_array(F.collect_set("at")).alias("places")
+    )  # lines of one text
+    joined = spread_join(packed(docs), places, ROW_KEY, "left")
+    lines = F.split(F.coalesce("_row.text", F.lit("")), "\n")
+    rebuilt = F.coalesce(F.array_join(F.transform("places", lambda k: F.get(lines, k)), "\n"), F.lit(""))
+    return joined.select(*[rebuilt.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
