@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wherescore.operators import planning
+from wherescore.operators import planning, prefix
 from wherescore.operators.ordered import block_of, running
 from wherescore.sources import tables
 
@@ -25,12 +25,12 @@ def test_running_sum_and_max(spark, span):
     assert found == expected
 
 
-@pytest.mark.parametrize("span", [2, 7, 1 << 20])
-def test_running_accuracy(spark, span):
+@pytest.mark.parametrize(("parts", "apart"), [(1, 1), (7, 1), (7, 10**15 + 7), (40, 3)])
+def test_running_accuracy(spark, parts, apart):
     rng = random.Random(3)
-    rows = [(f"m{i % 2}", i, rng.random() < 0.5) for i in range(100)]
+    rows = [(f"m{i % 2}", i * apart, rng.random() < 0.5) for i in range(100)]
     table = spark.createDataFrame(rows, "model string, ord bigint, correct boolean").repartition(5)
-    found = {(r.model, r.ord): (r.processed, r.correct) for r in planning.running_accuracy(table, span=span).collect()}
+    found = {(r.model, r.ord): (r.processed, r.correct) for r in planning.running_accuracy(table, partitions=parts).collect()}
     for m in ("m0", "m1"):
         hits = 0
         for n, (_, i, c) in enumerate([r for r in rows if r[0] == m], 1):
@@ -85,3 +85,32 @@ def test_summary_and_cost(spark):
     pilot = {r.model_key: r.n_items for r in planning.cost_estimate(results, models, pilot=10).collect()}
     assert pilot == {"m": 10, "n": 10}
     assert planning.cost_estimate(results.select(F.lit(1)), models).count() == 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_running_sums(spark, parts):
+    """Groups that fill several tasks, lie within one, or meet at an edge; null keys, null values, negative values."""
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a"] * 8 + ["b", None, "c"]), k, rng.choice([None, -3, 5, 2])) for k in range(400)]
+    table = spark.createDataFrame(rows, "g string, p bigint, v bigint").repartition(5)
+    found = {r.p: (r.g, r.total, r.n) for r in prefix.running_sums(table.withColumn("one", F.lit(1)), ["g"], ["p"], {"total": "v", "n": "one"}, parts).collect()}
+    so_far = {}
+    for g, p, v in rows:
+        total, n = so_far.get(g, (0, 0))
+        so_far[g] = (total + (v or 0), n + 1)
+        assert found[p] == (g, *so_far[g])
+    numbers = prefix.numbered(table, [], [F.col("p").desc()], "k").collect()
+    assert all(r.k == 399 - r.p for r in numbers) and len(numbers) == 400
+    assert prefix.numbered(table.limit(0), ["g"], ["p"], "k").collect() == []
+
+
+def test_ties_within_and_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [("m", k // 4, k % 3 == 0) for k in range(60)] + [("n", 5, None)] * 7
+        found = planning.running_accuracy(spark.createDataFrame(rows, "model string, ord int, correct boolean").repartition(4), partitions=3)
+        shown = {(r.model, r.ord): (r.processed, r.correct) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hits = [sum(c for _, o, c in rows[:60] if o <= at) for at in range(15)]
+    assert shown == {("m", at): (4 * at + 4, hits[at]) for at in range(15)} | {("n", 5): (7, 0)}

@@ -68,7 +68,11 @@ def test_rescore_in_place(spark, tmp_path, with_annotations):
     found = tables.load_results(spark, path, "parquet").first()
     assert found.predicted_country == "United Kingdom" and found.correct
     assert (found.true_region, found.region_correct) == (("Nowhere", False) if with_annotations else ("Western Europe", True))
-    assert [p.name for p in tmp_path.iterdir()] == ["results"]
+    before = tables.load_results(spark, path, "parquet")  # goes on reading what it has begun with
+    workflows.rescore(spark, path, path, annotations)
+    tables.append_results(before.withColumn("id", F.lit("2")), path)
+    assert before.count() == 1 and sorted(r.id for r in tables.load_results(spark, path, "parquet").collect()) == ["1", "2"]
+    assert sorted(r.id for r in tables.read_done(spark, path).collect()) == ["1", "2"]
 
 
 def test_rescore_needs_raw_response(spark, tmp_path):

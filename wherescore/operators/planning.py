@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wherescore.functions.lookups import DEFAULT_COST
 from wherescore.operators.joins import spread_join
-from wherescore.operators.ordered import BLOCK_SPAN, block_of, running
+from wherescore.operators.prefix import running_sums
 from wherescore.sources.scratch import settle
 
 
@@ -71,27 +71,17 @@ def cost_estimate(annotations: DataFrame, models: DataFrame, pilot: int | None =
 
 
 def running_accuracy(
-    results: DataFrame, by: Sequence[str] = ("model",), order: str = "ord", span: int = BLOCK_SPAN
+    results: DataFrame, by: Sequence[str] = ("model",), order: str = "ord", partitions: int | None = None
 ) -> DataFrame:
     """Processed and correct rows so far, and their share, after each position of a run.
 
-    ``order`` is the integer position of a row in its run; rows that share one are reported together.
+    ``order`` is the position of a row in its run, of any type that can be sorted; rows that share one are reported
+    together, rows without position or group are left out. The rows move once, in ranges of (group, position).
     """
-    steps = (
-        results.groupBy(*by, order)
-        .agg(
-            F.count("*").alias("_rows"),
-            F.sum(F.coalesce(F.col("correct").cast("int"), F.lit(0))).alias("_hits"),
-        )
-        .withColumn("_block", block_of(order, span))
-    )
-    out = running(
-        steps, by, "_block", [order], {"processed": ("sum", "_rows"), "correct": ("sum", "_hits")}
-    )
-    return out.select(
-        *by,
-        order,
-        "processed",
-        "correct",
-        (F.col("correct") / F.col("processed")).alias("running_accuracy"),
+    keyed = results.where(" and ".join(f"`{c}` is not null" for c in [*by, order]))
+    steps = keyed.select(
+        *by, order, F.lit(1).cast("long").alias("_rows"), F.coalesce(F.col("correct").cast("long"), F.lit(0)).alias("_hits")
     )
+    out = running_sums(steps, by, [order], {"processed": "_rows", "correct": "_hits"}, partitions, last_of_ties=True)
+    share = (F.col("correct") / F.col("processed")).alias("running_accuracy")
+    return out.select(*by, order, "processed", "correct", share)

@@ -29,9 +29,27 @@ def _starts(batch: pa.RecordBatch, by: Sequence[str], last: list | None) -> tupl
     return begins, [batch.column(name)[n - 1].as_py() for name in by]
 
 
-def _accumulated(by: Sequence[str], sums: Mapping[str, str]):
+def _last_of_ties(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The last of each run of rows with equal keys."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        key = None if held is None else [held.column(k)[0].as_py() for k in keys]
+        begins, _ = _starts(batch, keys, key)
+        if held is not None and begins[0]:
+            yield held
+        last = np.append(begins[1:], False)  # the very last row waits for the next batch
+        yield batch.filter(pa.array(last))
+        held = batch.slice(batch.num_rows - 1)
+    if held is not None:
+        yield held
+
+
+def _accumulated(by: Sequence[str], sums: Mapping[str, str], ties: Sequence[str] | None):
     """Adds running sums within the task to rows that come in order, with the task's number and whether its first group."""
 
+    def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _last_of_ties(run(batches), ties) if ties else run(batches)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         last, carried, first = None, dict.fromkeys(sums, 0), True
@@ -56,17 +74,23 @@ def _accumulated(by: Sequence[str], sums: Mapping[str, str]):
             columns += [pa.array(np.full(batch.num_rows, part), pa.int32()), pa.array(leading)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "_part", "_leading"])
 
-    return run
+    return all_rows
+
+
+def _total(name: str, column: str, last_of_ties: bool) -> Column:
+    """What a task adds to a group: the sum of its rows, or where only the last of equal ones are there, its running maximum."""
+    return (F.max(f"_own_{name}") if last_of_ties else F.sum(column)).alias(f"_sum_{name}")
 
 
 def running_sums(
-    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, str], partitions: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, str], partitions: int | None = None,
+    last_of_ties: bool = False,
 ) -> DataFrame:
     """Add running sums of whole-number columns within each group, in ``order``, the current row included.
 
     ``sums`` maps an output column to an input column; null values count as 0, null keys are a group like any other. Rows
     are dealt out in ranges of (group, order), so a group of any size is spread over tasks, whatever its positions are; ties
-    in ``order`` are in no particular order. Only the group that a task begins with can have rows in earlier tasks, and
+    in ``order`` are in no particular order (``last_of_ties``, for values that are not negative: of rows equal in names ``by`` and ``order`` the last one stays). Only the group that a task begins with can have rows in earlier tasks, and
     needs what they left: one row per task, which is broadcast.
     """
     by = list(by)
@@ -76,10 +100,8 @@ def running_sums(
     schema = schema.add("_part", "integer").add("_leading", "boolean")
     keys = [*by, *order]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    rows = settle(ranged.sortWithinPartitions(*keys).mapInArrow(_accumulated(by, sums), schema))
-    totals = rows.groupBy("_part", *by).agg(
-        F.max("_leading").alias("_leading"), *[F.sum(column).alias(f"_sum_{name}") for name, column in sums.items()]
-    )
+    rows = settle(ranged.sortWithinPartitions(*keys).mapInArrow(_accumulated(by, sums, keys if last_of_ties else None), schema))
+    totals = rows.groupBy("_part", *by).agg(F.max("_leading").alias("_leading"), *[_total(n, c, last_of_ties) for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = totals.select("_part", "_leading", *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in sums])
     joined = rows.join(F.broadcast(earlier.where("_leading").drop("_leading")), "_part", "left")  # one row per task

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import csv
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from wherescore.functions import text
 from wherescore.operators.joins import spread_join
 from wherescore.schemas import ANNOTATION_COLUMNS, ANNOTATIONS, COORDS, RESULT_COLUMNS, RESULTS
+from wherescore.sources import log
 
 # Quoted fields may hold line breaks and doubled quotes; blanks belong to the value.
 CSV_READ = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -26,40 +29,45 @@ CSV_WRITE = {
 _OTHER_BREAKS = "[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def _file_order() -> list[Column]:
-    """File, start of the split and row number inside the split: the order of the rows in their file."""
-    return [
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
-    ]
-
-
-def _row_order() -> Column:
-    """The same order as one sortable text."""
-    file, start, row = _file_order()
-    width = F.lit(20)
-    return F.concat_ws(
-        "/", file, F.lpad(start.cast("string"), width, F.lit("0")), F.lpad(row.cast("string"), width, F.lit("0"))
-    )
-
-
 def _truth(column: str) -> Column:
     """Flag from text: a number is true unless it is zero."""
     value = F.col(column)
     return F.coalesce(value.try_cast("double") != 0, value.try_cast("boolean"))
 
 
+def _missing_as_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_annotations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Annotation table with ``ord``, the order of its rows."""
-    reader = spark.read.schema(ANNOTATIONS)
-    if fmt != "csv":
-        table = reader.format(fmt).load(path)
-    else:
+    """Annotation table with ``ord``, the order of its rows: the commit that added them, then their place in it.
+
+    ``path`` is a file or folder; rows that ``append_annotations`` added to it follow in the order of the calls.
+    """
+    state = log.committed(spark, path)
+
+    def base() -> DataFrame:
+        if fmt != "csv":
+            return spark.read.schema(ANNOTATIONS).format(fmt).load(path)
         as_text = T.StructType([T.StructField(c, T.StringType()) for c in ANNOTATION_COLUMNS])
-        table = spark.read.schema(as_text).options(**CSV_READ).csv(path)
-    ordered = table.select("*", _row_order().alias("ord"))
-    return ordered.withColumn("multi_cue", text.parse_bool("multi_cue"))
+        return spark.read.schema(as_text).options(**CSV_READ).csv(path)
+
+    def ordered(rows: DataFrame, commit: Column, place: Column) -> DataFrame:
+        place = F.struct(commit.alias("commit"), place.alias("place")).alias("ord")
+        return rows.select(*ANNOTATION_COLUMNS, place).withColumn("multi_cue", text.parse_bool("multi_cue"))
+
+    parts = []
+    if state.base:
+        parts.append(ordered(base(), F.lit(0).cast("long"), log.row_order()))
+    added = log.read_commits(spark, path, state)
+    if added is not None:
+        parts.append(ordered(added, F.col("_commit"), F.col("_place")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_annotations(df: DataFrame, path: str, fmt: str = "csv") -> int:
@@ -68,6 +76,7 @@ def write_annotations(df: DataFrame, path: str, fmt: str = "csv") -> int:
     rows = df.select(*ANNOTATION_COLUMNS).observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.mode("overwrite").format(fmt)
     (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(path)
+    log.restart(df.sparkSession, path)
     return seen.get["rows"]
 
 
@@ -78,8 +87,13 @@ def new_annotations(images: DataFrame) -> DataFrame:
 
 
 def append_annotations(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Add rows to an annotation table."""
-    writer = new_annotations(df).write.mode("append").format(fmt)
+    """Add rows behind all others of an annotation table, a file or a folder; a table that is not there is written."""
+    spark, rows = df.sparkSession, new_annotations(df)
+    there = _missing_as_none(lambda: spark.read.format("binaryFile").load(path))
+    if there is not None or log.has_log(spark, path):
+        log.publish(rows, path)
+        return
+    writer = rows.write.format(fmt)
     (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(path)
 
 
@@ -90,26 +104,21 @@ def load_results(spark: SparkSession, directory: str, fmt: str = "csv") -> DataF
     line breaks inside quotes cannot be split, so one file is one task; large results belong in
     ``parquet``, the format of ``append_results``.
     """
+    state = log.committed(spark, directory)
+    parts = [_base_results(spark, directory, fmt)] if state.base else []
+    added = log.read_commits(spark, directory, state)
+    if added is not None:
+        parts.append(added.drop("_commit", "_place"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _base_results(spark: SparkSession, directory: str, fmt: str) -> DataFrame:
     if fmt != "csv":
         return spark.read.option("mergeSchema", True).format(fmt).load(directory)
-
     pattern = f"{directory.rstrip('/')}/results_*.csv"
-    try:
-        # Lists the files; only the path column is needed, so no content is read.
-        files = spark.read.format("binaryFile").load(pattern).select("path")
-        entry = F.regexp_extract("path", r"^(.*/results_[^/]*\.csv)(?:/[^/]*)?$", 1)
-        entries = sorted(r[0] for r in files.select(entry.alias("entry")).distinct().collect())
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise FileNotFoundError(f"no results_*.csv in {directory}") from error
-    if not entries:
+    by_header = _headers(spark, pattern)
+    if not by_header:
         raise FileNotFoundError(f"no results_*.csv in {directory}")
-
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in entries:
-        header = tuple(spark.read.options(**CSV_READ).csv(path).columns)
-        by_header.setdefault(header, []).append(path)
     out = None
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
@@ -120,6 +129,23 @@ def load_results(spark: SparkSession, directory: str, fmt: str = "csv") -> DataF
     return out
 
 
+def _headers(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
+    """Column names of CSV files, each with the files that have them: one job over all files, however many there are.
+
+    Empty files have none. Names must not hold line breaks. The driver gets the file names, which Spark lists there anyway.
+    """
+    lines = _missing_as_none(lambda: spark.read.text(pattern))
+    if lines is None:
+        return {}
+    file, start, row = log.file_order()
+    first = lines.select("value", file, start, row).where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for header, files in sorted(map(tuple, first.groupBy("header").agg(F.sort_array(F.collect_list("file"))).collect())):
+        names = tuple(next(csv.reader([header.removeprefix("\ufeff")])))
+        found.setdefault(names, []).extend(files)
+    return found
+
+
 def require_raw_response(df: DataFrame) -> DataFrame:
     if "raw_response" not in df.columns:
         raise ValueError(f"column 'raw_response' is missing; found {df.columns}")
@@ -128,39 +154,32 @@ def require_raw_response(df: DataFrame) -> DataFrame:
 
 def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Add scored rows to a results table, fixed columns in fixed order; one commit per call."""
-    writer = df.select(*RESULT_COLUMNS).write.mode("append").format(fmt)
+    rows = df.select(*RESULT_COLUMNS)
+    if log.has_log(df.sparkSession, path):
+        log.publish(rows, path)
+        return
+    writer = rows.write.mode("append").format(fmt)
     (writer.options(**CSV_WRITE) if fmt == "csv" else writer).save(path)
 
 
 def read_done(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Results that exist already; empty if there are none yet."""
+    state = log.committed(spark, path)
     reader = spark.read.schema(RESULTS).format(fmt)
-    try:
-        return (reader.options(**CSV_READ) if fmt == "csv" else reader).load(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], RESULTS)
-
-
-def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace a table that ``df`` may still be reading: write beside it, then swap the folders."""
-    spark = df.sparkSession
-    fresh, old = (f"{path.rstrip('/')}__{part}_{uuid.uuid4().hex}" for part in ("new", "old"))
-    writer = df.write.format(fmt)
-    if fmt == "csv":  # under the name that load_results looks for
-        writer.options(**CSV_WRITE).save(f"{fresh}/results_all.csv")
-    else:
-        writer.save(fresh)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target, source, backup = hadoop(path), hadoop(fresh), hadoop(old)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target) and not fs.rename(target, backup):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(source, target):
-        fs.rename(backup, target)
-        raise OSError(f"cannot move {fresh} to {path}")
-    fs.delete(backup, True)
+    base = _missing_as_none(lambda: (reader.options(**CSV_READ) if fmt == "csv" else reader).load(path)) if state.base else None
+    added = log.read_commits(spark, path, state)
+    parts = [base, None if added is None else added.drop("_commit", "_place")]
+    there = [p for p in parts if p is not None]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), there) if there else spark.createDataFrame([], RESULTS)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace a table that ``df`` may still be reading: a commit, from which on the earlier rows do not count.
+
+    There is a whole table at any time, and what others are reading stays. The readers of this module see the new rows;
+    the files at ``path`` are left as they are.
+    """
+    log.publish(df, path, log.REPLACE)
 
 
 def checked_coords(df: DataFrame) -> DataFrame:
@@ -176,7 +195,7 @@ def read_coords(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.options(**CSV_READ).csv(path)
     if "ord" in table.columns:
         return checked_coords(table).withColumn("ord", F.col("ord").cast("bigint"))
-    return checked_coords(table.select("*", _row_order().alias("ord")))
+    return checked_coords(table.select("*", log.row_order().alias("ord")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -184,7 +203,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A block is one split of a file; pos orders the lines of a file.
     """
-    lines = spark.read.text(path).select("value", *_file_order())
+    lines = spark.read.text(path).select("value", *log.file_order())
     return lines.select("file", "start", "row", F.posexplode(F.split("value", _OTHER_BREAKS))).select(
         "file",
         F.col("start").alias("block"),
@@ -198,11 +217,16 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).select(text.strip("line").alias("id")).where(F.col("id") != "")
 
 
-def read_images(spark: SparkSession, directory: str, root: str = "data/images") -> DataFrame:
-    """Image files as filepath and content; the path is given relative to the folder above ``root``."""
+def read_images(spark: SparkSession, directory: str, root: str = "data/images", wanted: Sequence[str] | None = None) -> DataFrame:
+    """Image files as filepath and content; the path is given relative to the folder above ``root``.
+
+    ``wanted`` names the only paths to read: the condition is on the path, so files that do not meet it are never opened.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-    relative = F.regexp_extract("path", rf"({root}/.*)$", 1)
-    return files.select(F.url_decode(relative).alias("filepath"), "content")
+    relative = F.url_decode(F.regexp_extract("_metadata.file_path", rf"({root}/.*)$", 1))
+    if wanted is not None:
+        files = files.where(relative.isin(list(wanted)))
+    return files.select(relative.alias("filepath"), "content")
 
 
 def attach_images(annotations: DataFrame, images: DataFrame) -> DataFrame:

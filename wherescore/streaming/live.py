@@ -13,6 +13,7 @@ from wherescore.functions.lookups import COUNTRY_ALIASES, COUNTRY_REGIONS
 from wherescore.operators.joins import spread_join
 from wherescore.operators.score import add_country_score, add_prediction, add_region_score, fallback_region
 from wherescore.schemas import RESULT_COLUMNS
+from wherescore.sources import log
 
 
 def read_responses(
@@ -76,13 +77,14 @@ def live_accuracy(scored: DataFrame) -> DataFrame:
 
 
 def write_accuracy(accuracy: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the accuracy table after every micro-batch, each time beside the earlier ones.
+    """Publish the accuracy table after every micro-batch as a commit that replaces the earlier ones.
 
-    ``read_accuracy`` takes the latest, so that there is a table at any time, also after a crash during a write.
+    ``read_accuracy`` takes the latest commit. Its number goes on from the last one in the folder, not from the micro-batch,
+    so a stream that starts again with a new checkpoint replaces what an earlier one has left.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        log.publish(batch.coalesce(1), path, log.REPLACE)
 
     return (
         accuracy.writeStream.outputMode("complete")
@@ -95,5 +97,7 @@ def write_accuracy(accuracy: DataFrame, path: str, checkpoint: str) -> Streaming
 
 def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
     """The latest table of ``write_accuracy``."""
-    tables = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return tables.where(F.col("batch") == tables.agg(F.max("batch")).scalar()).drop("batch")
+    latest = log.read_commits(spark, path, log.committed(spark, path))
+    if latest is None:
+        raise FileNotFoundError(f"no accuracy table at {path}")
+    return latest.drop("_commit", "_place")
