@@ -173,17 +173,42 @@ def test_quota_equals_greedy(spark, seed):
             claims.append((country, ord_, rank, id_, tile, tile))
     table = spark.createDataFrame(claims, "country string, ord bigint, rank int, id string, tile_x int, tile_y int")
     expected = greedy(claims, 3)
-    for group_claims in (0, 10, 10_000):
-        found = [tuple(r) for r in sampling.take_in_order(table, 3, group_claims).collect()]
+    for block_targets in (1, 7, 10_000):
+        found = [tuple(r) for r in sampling.take_in_order(table, 3, block_targets).collect()]
         assert len(found) == len(set(found)) and set(found) == expected
 
 
 def test_chain_of_targets(spark):
-    # Every target shares its first image with the target before it: the longest dependency.
-    claims = [("Japan", i, r, f"i{i + r - 1}", 0, 0) for i in range(12) for r in (1, 2)]
+    """Every target shares its first image with the target before it: the longest dependency, in jobs bound by blocks."""
+    claims = [("Japan", i, r, f"i{i + r - 1}", 0, 0) for i in range(2000) for r in (1, 2)]
     table = spark.createDataFrame(claims, "country string, ord bigint, rank int, id string, tile_x int, tile_y int")
-    found = {tuple(r) for r in sampling.take_in_order(table, 1, 0).collect()}
-    assert found == greedy(claims, 1)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for block_targets in (5000, 700):
+        spark.sparkContext.setJobGroup(f"chain {block_targets}", "")
+        found = {tuple(r) for r in sampling.take_in_order(table, 1, block_targets).collect()}
+        jobs.append(len(tracker.getJobIdsForGroup(f"chain {block_targets}")))
+        assert found == greedy(claims, 1)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] < 60 and jobs[1] < 3 * jobs[0]
+
+
+def test_failed_images_use_no_quota(spark):
+    coords, features = make(random.Random(6), 52.5, 13.4, 25, 300, True)
+    meta = [(f"i{i}", f"u{i}", False) for i in range(300)]
+    failed = {f"i{i}" for i in range(0, 300, 4)}
+    claims = [
+        (coords[ord_][3], ord_, rank, id_)
+        for ord_, found in brute(coords, features, 500.0, 6).items()
+        for rank, (id_, _) in enumerate(found, 1)
+        if id_ not in failed  # the sequential rule: a failed fetch goes on to the next candidate
+    ]
+    out = sampling.sample_images(
+        spark.createDataFrame(coords, COORDS),
+        spark.createDataFrame(features, FEATURES),
+        spark.createDataFrame(meta, "id string, thumb_2048_url string, is_pano boolean"),
+        failed=spark.createDataFrame([(i,) for i in failed], "id string"),
+    )
+    assert {(r.country, r.ord, r.rank, r.id) for r in out.collect()} == greedy(claims, 3)
 
 
 def test_sample_images_end_to_end(spark):

@@ -151,6 +151,30 @@ def accuracy_by_model_and_country(df: DataFrame) -> DataFrame:
     )
 
 
+def model_country_map(df: DataFrame) -> DataFrame:
+    """Accuracy of each model by country, with the countries that the data hold: model, by_country, overall.
+
+    ``by_country`` is a sorted array of (country, accuracy) with every country of any model, NULL where the model has no
+    row of it. It is made of one row per model and country, so it is as long as there are countries; nothing is collected.
+    """
+    rows = measures(df)
+    long = accuracy_by_model_and_country(rows)
+    countries = long.agg(F.sort_array(F.collect_set("true_country")).alias("_all"))
+    known = long.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("true_country", "accuracy"))).alias("_known"))
+    overall = rows.where(F.col("model").isNotNull()).groupBy("model").agg(_rate().alias("overall"))
+    every = F.transform("_all", lambda c: F.struct(c.alias("country"), F.try_element_at("_known", c).alias("accuracy")))
+    joined = known.join(overall, "model").crossJoin(countries)  # countries are one row
+    return joined.select("model", every.alias("by_country"), "overall").orderBy(F.desc("overall"), "model")
+
+
+def country_columns(wide: DataFrame) -> DataFrame:
+    """The table of ``model_country_map`` with a column for each country, for output: names come from its first row."""
+    first = wide.select(F.col("by_country.country").alias("names")).first()
+    names = first["names"] if first else []
+    values = [F.col("by_country")[k]["accuracy"].alias(c) for k, c in enumerate(names)]
+    return wide.select("model", *values, "overall")
+
+
 def model_country_pivot(df: DataFrame, countries: Sequence[str]) -> DataFrame:
     """Accuracy of each model with one column per given true country, and overall.
 

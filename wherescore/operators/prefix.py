@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from wherescore.sources.scratch import settle
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Rows, from the second on, whose value is not that of the row before."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    found = null[1:] != null[:-1]
+    if pa.types.is_struct(column.type):
+        for part in column.flatten():
+            found |= _differs(part)
+        return found
+    values = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+    return found | pc.fill_null(values, False).to_numpy(zero_copy_only=False)
+
+
 def _starts(batch: pa.RecordBatch, by: Sequence[str], last: list | None) -> tuple[np.ndarray, list]:
     """Rows of a batch that begin a group, given the key of the row before it; and the key of its last row."""
     n = batch.num_rows
@@ -21,9 +33,7 @@ def _starts(batch: pa.RecordBatch, by: Sequence[str], last: list | None) -> tupl
     begins[0] = last is None
     for i, name in enumerate(by):
         column = batch.column(name)
-        null = column.is_null().to_numpy(zero_copy_only=False)
-        differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
-        begins[1:] |= differs | (null[1:] != null[:-1])
+        begins[1:] |= _differs(column)
         if last is not None:
             begins[0] |= column[0].as_py() != last[i]
     return begins, [batch.column(name)[n - 1].as_py() for name in by]

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from wherescore.functions import text
 from wherescore.operators.joins import spread_join
 from wherescore.operators.nearby import image_urls, nearby_topk
+from wherescore.operators.prefix import numbered
 from wherescore.sources.scratch import scratch_path, settle
 
-# A group of claims up to this size is decided in one task.
-GROUP_CLAIMS = 200_000
+#: Coordinates of a block, which one task decides; each has at most twice its quota of claims.
+BLOCK_TARGETS = 20_000
 
 _CLAIM = ["country", "ord", "rank", "id"]
 _TILE = ["tile_x", "tile_y"]
@@ -51,83 +52,73 @@ def image_claims(
     return claims if present is None else drop_present(claims, present)
 
 
-def take_in_order(claims: DataFrame, per_target: int, group_claims: int = GROUP_CLAIMS) -> DataFrame:
-    """Decide claims (country, ord, rank, id, tile_x, tile_y): the rows that are taken.
+def _block_of_targets(claims: DataFrame, block_targets: int) -> DataFrame:
+    """Block of each coordinate (country, ord, block): those of one country and tile, in order, so many to a block."""
+    targets = claims.groupBy(*_TARGET).agg(F.min(F.struct(*_TILE)).alias("tile")).select(*_TARGET, "tile.*")
+    placed = numbered(settle(targets), ["country", *_TILE], ["ord"], "nth")
+    part = F.expr(f"nth div {block_targets}").cast("string")
+    tile = [F.col(c).cast("string") for c in _TILE]
+    return placed.select(*_TARGET, F.concat_ws("/", *tile, part, "country").alias("block"))
 
-    The claims of one country and tile form a group unless one of their images is also claimed from
-    another tile. Groups of at most ``group_claims`` rows are decided in one task each, all others in
-    rounds over the whole table, so no task ever holds more than a bounded group.
-    """
-    claims = claims.select(*_CLAIM, *_TILE)
-    images = claims.groupBy(*_IMAGE).agg(
-        (F.min(F.struct(*_TILE)) != F.max(F.struct(*_TILE))).alias("_bridge")
-    )
-    marked = settle(spread_join(claims, images, _IMAGE, "inner"))
-    groups = marked.groupBy("country", *_TILE).agg(
-        (F.bool_or("_bridge") | (F.count("*") > group_claims)).alias("_open")
-    )
-    marked = spread_join(marked, groups, ["country", *_TILE], "inner")
-
-    def first_come(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        rows, target, left = [], None, 0
-        for row in group.sort_values(["ord", "rank"], kind="stable").itertuples(index=False):
-            if row.ord != target:
-                target, left = row.ord, per_target
-            if left > 0 and row.id not in taken:
-                taken.add(row.id)
-                left -= 1
-                rows.append((row.country, row.ord, row.rank, row.id))
-        return pd.DataFrame(rows, columns=_CLAIM)
-
-    types = dict(claims.select(*_CLAIM).dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in _CLAIM)
-    closed = (
-        marked.where(~F.col("_open"))
-        .select(*_CLAIM, *_TILE)
-        .groupBy("country", *_TILE)
-        .applyInPandas(first_come, schema)
-    )
-    rest = marked.where("_open").select(*_CLAIM)
-    if rest.isEmpty():
-        return closed
-    return closed.unionByName(take_in_rounds(rest, per_target))
 
+def _decide(block: pd.DataFrame) -> pd.DataFrame:
+    """What of a block waits for nothing outside it: claims that are taken, and those of coordinates that stay open.
 
-def take_in_rounds(claims: DataFrame, per_target: int) -> DataFrame:
-    """Decide claims (country, ord, rank, id) without collecting a group.
+    A coordinate takes a claim if no earlier one can still take the image, and if its quota would not be met even if it got
+    all the undecided claims before that one. ``earlier`` is the first open claim on the image from another block.
+    """
+    taken: set[str] = set()
+    contested: set[str] = set()
+    rows: list[tuple] = []
+    for (country, ord_), claims in block.sort_values(["ord", "rank"], kind="stable").groupby(["country", "ord"], sort=False, dropna=False):
+        quota, got, undecided, rest = int(claims["quota"].iloc[0]), 0, 0, []
+        for rank, id_, earlier in zip(claims["rank"], claims["id"], claims["earlier"], strict=True):
+            if id_ in taken:
+                continue
+            free = id_ not in contested and not earlier < ord_  # NaN: none
+            if got + undecided < quota and free:
+                taken.add(id_)
+                rows.append((country, ord_, rank, id_, 0, True))
+                got += 1
+            else:
+                undecided += got + undecided < quota
+                rest.append((rank, id_))
+        if undecided:
+            contested.update(id_ for _, id_ in rest)
+            rows.extend((country, ord_, rank, id_, quota - got, False) for rank, id_ in rest)
+    return pd.DataFrame(rows, columns=[*_CLAIM, "quota", "taken"]).assign(block=block["block"].iloc[0])
+
+
+def take_in_order(claims: DataFrame, per_target: int, block_targets: int = BLOCK_TARGETS) -> DataFrame:
+    """Decide claims (country, ord, rank, id, tile_x, tile_y): the rows that are taken.
 
-    In every round the earliest open claim on an image is first in line. A coordinate takes those of
-    its first ``quota`` open claims that are first in line: even if all the open claims before them
-    were taken, the quota would not be met. Taken images and met quotas close the claims that depend
-    on them. The earliest open coordinate always finishes, so the rounds end.
+    Coordinates are dealt into blocks by place and order, of at most ``block_targets`` each. In a round each block decides,
+    in one task, all claims that wait for nothing outside; only claims on images that several blocks want are exchanged,
+    and coordinates that wait for another block go on to the next round. The earliest open coordinate never waits, so the
+    rounds end; a chain of coordinates that wait for each other takes as many rounds as it crosses from block to block.
     """
-    open_claims = settle(
-        claims.groupBy(*_TARGET, "id").agg(F.min("rank").alias("rank")).withColumn("quota", F.lit(per_target))
-    )
+    blocks = _block_of_targets(claims, block_targets)
+    own = claims.groupBy(*_TARGET, "id").agg(F.min("rank").alias("rank")).withColumn("quota", F.lit(per_target))
+    state = spread_join(own, blocks, _TARGET, "inner")
+    types = dict(claims.select(*_CLAIM).dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in _CLAIM) + ", quota int, taken boolean, block string"
     path = scratch_path(claims.sparkSession, "taken")
-    while not open_claims.isEmpty():
-        first = open_claims.groupBy(*_IMAGE).agg(F.min("ord").alias("_first"))
-        lined = spread_join(open_claims, first, _IMAGE, "inner").withColumn(
-            "_lead", F.col("ord") == F.col("_first")
-        )
-        # At most 2 x quota claims per coordinate, so this list is short.
-        per_coord = lined.groupBy(*_TARGET, "quota").agg(
-            F.sort_array(F.collect_list(F.struct("rank", "id", "_lead"))).alias("list")
-        )
-        step = settle(
-            per_coord.withColumn("take", F.filter("list", lambda c, i: c["_lead"] & (i < F.col("quota"))))
-            .withColumn("quota", F.col("quota") - F.size("take"))
-        )
-        taken = step.select(*_TARGET, F.explode("take").alias("c")).select(*_TARGET, "c.rank", "c.id")
+    while True:
+        state = settle(state.select(*_CLAIM, "quota", "block"))
+        sides = state.groupBy(*_IMAGE, "block").agg(F.min("ord").alias("first"))
+        # As many sides as blocks that want the image, which lie around it.
+        wanted = sides.groupBy(*_IMAGE).agg(F.sort_array(F.collect_list(F.struct("first", "block"))).alias("sides"))
+        border = wanted.where(F.size("sides") > 1).select(*_IMAGE, F.slice("sides", 1, 2).alias("sides"))
+        mine = F.col("sides")[0]["block"] == F.col("block")
+        earlier = F.when(mine, F.col("sides")[1]["first"]).otherwise(F.col("sides")[0]["first"])
+        exchanged = spread_join(state, border, _IMAGE, "left").withColumn("earlier", earlier.cast("double")).drop("sides")
+        step = settle(exchanged.groupBy("block").applyInPandas(_decide, schema))
+        taken = step.where("taken").select(*_CLAIM)
         taken.write.mode("append").parquet(path)
-        waiting = (
-            step.where("quota > 0")
-            .select(*_TARGET, "quota", F.explode("list").alias("c"))
-            .select(*_TARGET, "quota", "c.rank", "c.id")
-        )
-        open_claims = settle(spread_join(waiting, taken.select(*_IMAGE), _IMAGE, "left_anti"))
-    return claims.sparkSession.read.schema(taken.schema).parquet(path).select(*_CLAIM)
+        waiting = step.where("not taken")
+        if waiting.isEmpty():
+            return claims.sparkSession.read.schema(taken.schema).parquet(path)
+        state = spread_join(waiting, taken.select(*_IMAGE), _IMAGE, "left_anti")
 
 
 def sample_images(
@@ -137,14 +128,19 @@ def sample_images(
     present: DataFrame | None = None,
     per_target: int = 3,
     radius_m: float = 500.0,
-    group_claims: int = GROUP_CLAIMS,
+    block_targets: int = BLOCK_TARGETS,
     neighbors: bool = False,
+    failed: DataFrame | None = None,
 ) -> DataFrame:
-    """Images to fetch for each coordinate (ord, lat, lon, country, region), in order, with a quota."""
-    claims = settle(
-        image_claims(coords, features, meta, present, per_target, radius_m, neighbors=neighbors)
-    )
-    taken = take_in_order(claims, per_target, group_claims)
+    """Images to fetch for each coordinate (ord, lat, lon, country, region), in order, with a quota.
+
+    ``failed`` names images (id) that could not be fetched: they use no quota, and the next candidate moves up.
+    """
+    claims = image_claims(coords, features, meta, present, per_target, radius_m, neighbors=neighbors)
+    if failed is not None:
+        claims = spread_join(claims, failed.select(F.col("id").cast("string").alias("id")).distinct(), ["id"], "left_anti")
+    claims = settle(claims)
+    taken = take_in_order(claims, per_target, block_targets)
     return claims.join(taken, _CLAIM).select(
         "ord", "rank", "id", "country", "region", "filepath", "url", "distance_m"
     )

@@ -168,6 +168,24 @@ SUMMARY = f"""summary AS (SELECT model, {_SHARE.format("correct")} AS c, {_SHARE
 MODEL_CUE = f"""model_cue AS (SELECT model, cue_type, {_SHARE.format("correct")} AS accuracy {SINGLE} GROUP BY ALL)"""
 
 
+def _sample(same_tile: bool = True, more: str = "") -> str:
+    """Coordinates in order, each with the first three of its six nearest usable images that none before it took."""
+    return f"""WITH RECURSIVE {_nearby(6, same_tile)}, {META}, claims AS (
+SELECT n.ord, n.rank, n.id, c.country, c.region, m.url, n.distance_m FROM nearest n JOIN coords c ON n.ord = c.ord
+JOIN meta m ON n.id = m.id WHERE m.url IS NOT NULL AND CAST(n.id AS BIGINT) % 13 <> 0{more}), queue AS (
+SELECT ord, country, list(id ORDER BY rank) AS ids, row_number() OVER (ORDER BY ord) AS step
+FROM claims GROUP BY ord, country), served AS (
+SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS ord, CAST([] AS VARCHAR[]) AS picked, CAST([] AS VARCHAR[]) AS taken
+UNION ALL
+SELECT q.step, q.ord, list_filter(q.ids, lambda x: NOT list_contains(s.taken, q.country || '/' || x))[1:3],
+ list_concat(s.taken, list_transform(list_filter(q.ids, lambda x: NOT list_contains(s.taken, q.country || '/' || x))[1:3],
+  lambda x: q.country || '/' || x))
+FROM served s JOIN queue q ON q.step = s.step + 1)
+SELECT c.ord, rank, c.id, c.country, region, 'data/images/' || c.country || '/' || c.id || '.jpg' AS filepath, url,
+ round(distance_m, 6) AS distance_m
+FROM claims c JOIN served s ON c.ord = s.ord AND list_contains(s.picked, c.id)"""
+
+
 def sql() -> dict[str, str]:
     """Query name -> SQL."""
     out = {
@@ -194,7 +212,7 @@ SELECT DISTINCT id FROM annotations WHERE multi_cue OR ord % 7 = 0)
 SELECT count(*) FILTER (id IN (SELECT id FROM flagged)) AS n_multi, count(*) AS n_rows FROM responses""",
         "attach_region": f"""WITH {RESPONSES}, again AS (
 SELECT id, coalesce(CASE WHEN ord % 7 = 0 THEN CASE WHEN ord % 2 = 0 THEN 'East Asia' ELSE '' END ELSE region END, '') AS region
-FROM annotations WHERE country <> 'Peru')
+FROM annotations)
 SELECT ord, r.id, model, coalesce(again.region, '') AS true_region FROM responses r LEFT JOIN again ON r.id = again.id""",
         "fallback_region": f"""WITH {RESPONSES}, {REGIONS}
 SELECT ord, id, model, true_country, coalesce(regions.region, '') AS true_region
@@ -217,6 +235,13 @@ SELECT model, true_country, {_share()} AS accuracy, count(correct) AS n_images F
         "model_country_pivot": f"""WITH {RESULTS} SELECT model, {", ".join(
             f"{_share('correct', f'true_country = {_literal(c)}')} AS {c.lower().replace(' ', '_')}" for c, _, _ in COUNTRIES
         )}, {_share()} AS overall FROM results GROUP BY model""",
+        "model_country_wide": f"""WITH {RESULTS}, shares AS (
+SELECT model, true_country, {_SHARE.format("correct")} AS accuracy FROM results GROUP BY ALL), grid AS (
+SELECT m.model, c.true_country, s.accuracy FROM (SELECT DISTINCT model FROM shares) m
+CROSS JOIN (SELECT DISTINCT true_country FROM shares) c
+LEFT JOIN shares s ON s.model = m.model AND s.true_country = c.true_country)
+SELECT model, string_agg(true_country || '=' || coalesce(printf('%.1f%%', accuracy * 100), 'N/A'), ', ' ORDER BY true_country) AS by_country,
+ any_value(overall) AS overall FROM grid JOIN (SELECT model, {_share()} AS overall FROM results GROUP BY model) USING (model) GROUP BY model""",
         "accuracy_multicue": f"""WITH {RESULTS}
 SELECT model, CASE WHEN multi_cue THEN 'multi-cue' ELSE 'single-cue' END AS subset, {_share()} AS accuracy,
  count(correct) AS n_images FROM results GROUP BY ALL""",
@@ -270,20 +295,13 @@ SELECT ord, rank, id, round(flat, 6) AS lat, round(flon, 6) AS lon, round(distan
 SELECT ord, rank, id, round(flat, 6) AS lat, round(flon, 6) AS lon, round(distance_m, 6) AS distance_m FROM nearest""",
         "meta_lookup": f"""WITH {META} SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS id, url
 FROM orders LEFT JOIN meta ON CAST(o_custkey AS VARCHAR) = id""",
-        "sample_images": f"""WITH RECURSIVE {_nearby(6)}, {META}, claims AS (
-SELECT n.ord, n.rank, n.id, c.country, c.region, m.url, n.distance_m FROM nearest n JOIN coords c ON n.ord = c.ord
-JOIN meta m ON n.id = m.id WHERE m.url IS NOT NULL AND CAST(n.id AS BIGINT) % 13 <> 0), queue AS (
-SELECT ord, country, list(id ORDER BY rank) AS ids, row_number() OVER (ORDER BY ord) AS step
-FROM claims GROUP BY ord, country), served AS (
-SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS ord, CAST([] AS VARCHAR[]) AS picked, CAST([] AS VARCHAR[]) AS taken
-UNION ALL
-SELECT q.step, q.ord, list_filter(q.ids, lambda x: NOT list_contains(s.taken, q.country || '/' || x))[1:3],
- list_concat(s.taken, list_transform(list_filter(q.ids, lambda x: NOT list_contains(s.taken, q.country || '/' || x))[1:3],
-  lambda x: q.country || '/' || x))
-FROM served s JOIN queue q ON q.step = s.step + 1)
-SELECT c.ord, rank, c.id, c.country, region, 'data/images/' || c.country || '/' || c.id || '.jpg' AS filepath, url,
- round(distance_m, 6) AS distance_m
-FROM claims c JOIN served s ON c.ord = s.ord AND list_contains(s.picked, c.id)""",
+        "sample_images": _sample(),
+        "sample_images_neighbors": _sample(same_tile=False),
+        "sample_images_failed": _sample(more=" AND CAST(n.id AS BIGINT) % 5 <> 2"),
+        "appended_annotations": f"""WITH {ANNOTATIONS} SELECT id,
+ CASE WHEN cue_type <> 'linguistic' THEN 'second' WHEN country <> 'Peru' THEN 'first' ELSE nullif(region, '') END AS region,
+ CASE WHEN cue_type <> 'linguistic' THEN 2 WHEN country <> 'Peru' THEN 1 ELSE 0 END::BIGINT AS commit,
+ 1 + (country <> 'Peru')::BIGINT + (cue_type <> 'linguistic')::BIGINT AS n_rows FROM annotations""",
         "load_results": f"""WITH {RESULTS} SELECT id, cue_type, true_country, predicted_country, correct,
  nullif(true_region, '') AS true_region, CASE WHEN model IN ('model_0', 'model_1', 'model_2') THEN region_correct END AS region_correct,
  model, raw_response FROM results""",
@@ -331,6 +349,8 @@ SELECT model, round(m, 6) AS multi_cue, round(s, 6) AS single_cue FROM summary""
  round(least(1.0::DOUBLE, (SELECT max(c) FROM summary) + 0.15::DOUBLE), 6) AS y_max FROM summary""",
         "plot_cue_colors": f"""WITH {RESULTS} SELECT cue_type, {_share()} AS accuracy, count(correct) AS n_images,
  {_case("cue_type", CUE_COLORS, "'#888888'")} AS color {SINGLE} GROUP BY cue_type""",
+        "stream_accuracy_again": f"""WITH {RESULTS} SELECT model, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS correct,
+ count(*) AS processed, {_share()} AS accuracy FROM results WHERE ord % 3 = 0 GROUP BY model""",
         "stream_accuracy": f"""WITH {RESULTS} SELECT model, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS correct,
  count(*) AS processed, {_share()} AS accuracy FROM results GROUP BY model""",
     }

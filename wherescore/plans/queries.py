@@ -147,8 +147,7 @@ def multicue_count(spark, sf_dir):
 @query
 def attach_region(spark, sf_dir):
     rows = fx.responses(spark, sf_dir).drop("true_region")
-    some = fx.repeated_annotations(spark, sf_dir).where(F.col("country") != "Peru")
-    return score.attach_region(rows, some).select("ord", "id", "model", "true_region")
+    return score.attach_region(rows, fx.repeated_annotations(spark, sf_dir)).select("ord", "id", "model", "true_region")
 
 
 @query
@@ -206,6 +205,13 @@ def accuracy_model_country(spark, sf_dir):
     return metrics.accuracy_by_model_and_country(results(spark, sf_dir))
 
 
+@query
+def model_country_wide(spark, sf_dir):
+    wide = metrics.model_country_map(results(spark, sf_dir))
+    shown = F.transform("by_country", lambda c: F.concat(c["country"], F.lit("="), text.percent_text(c["accuracy"], "N/A")))
+    return wide.select("model", F.array_join(shown, ", ").alias("by_country"), "overall")
+
+
 @query
 def model_country_pivot(spark, sf_dir):
     countries = sorted(c[0] for c in fx.COUNTRIES)
@@ -355,6 +361,27 @@ def sample_images(spark, sf_dir):
     )
 
 
+@query
+def sample_images_neighbors(spark, sf_dir):
+    return sampling.sample_images(
+        fx.coords(spark, sf_dir),
+        fx.tile_features(spark, sf_dir),
+        fx.image_meta(spark, sf_dir),
+        fx.present_files(spark, sf_dir),
+        neighbors=True,
+    )
+
+
+@query
+def sample_images_failed(spark, sf_dir):
+    """Fetches of some images fail: the next candidates move up."""
+    meta = fx.image_meta(spark, sf_dir)
+    failed = meta.where(F.col("id").cast("bigint") % 5 == 2).select("id")
+    return sampling.sample_images(
+        fx.coords(spark, sf_dir), fx.tile_features(spark, sf_dir), meta, fx.present_files(spark, sf_dir), failed=failed
+    )
+
+
 # --- sources and sinks ----------------------------------------------------------------------------
 
 
@@ -410,6 +437,20 @@ def new_annotations(spark, sf_dir):
     return tables.read_annotations(spark, path).select(*ANNOTATION_COLUMNS)
 
 
+@query
+def appended_annotations(spark, sf_dir):
+    """A table, and two appends of several partitions: the region of an id is that of the row that was appended last."""
+    rows = fx.annotations(spark, sf_dir).drop("ord")
+    path = scratch_path(spark, "annotations.csv")
+    tables.append_annotations(rows, path)
+    number = F.pmod(F.xxhash64("id"), F.lit(4))
+    for region, turn in (("first", rows.repartition(4, number)), ("second", rows.repartition(3))):
+        some = turn.where(F.col("cue_type") != "linguistic") if region == "second" else turn.where(F.col("country") != "Peru")
+        tables.append_annotations(some.withColumn("region", F.lit(region)), path)
+    table = tables.read_annotations(spark, path)
+    return table.groupBy("id").agg(F.max_by("region", "ord").alias("region"), F.max("ord.commit").alias("commit"), F.count("*").alias("n_rows"))
+
+
 @query
 def image_payload(spark, sf_dir):
     rows = respond.image_payload(fx.page_annotations(spark, sf_dir), fx.page_images(spark, sf_dir), with_url=True)
@@ -497,3 +538,15 @@ def stream_accuracy(spark, sf_dir):
     out = scratch_path(spark, "accuracy")
     live.write_accuracy(live.live_accuracy(scored), out, scratch_path(spark, "checkpoint")).awaitTermination()
     return live.read_accuracy(spark, out)
+
+
+@query
+def stream_accuracy_again(spark, sf_dir):
+    """A second stream with a checkpoint of its own on the folder of a first one, which had more micro-batches."""
+    path, schema = _saved_responses(spark, sf_dir)
+    out, later = scratch_path(spark, "accuracy"), scratch_path(spark, "later")
+    spark.read.schema(schema).parquet(path).where(F.col("ord") % 3 == 0).coalesce(1).write.parquet(later)
+    for folder in (path, later):
+        scored = live.score_stream(live.read_responses(spark, folder, schema, max_files=1))
+        live.write_accuracy(live.live_accuracy(scored), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    return live.read_accuracy(spark, out)

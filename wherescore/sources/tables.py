@@ -66,6 +66,8 @@ def read_annotations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
         parts.append(ordered(base(), F.lit(0).cast("long"), log.row_order()))
     added = log.read_commits(spark, path, state)
     if added is not None:
+        if fmt == "csv":  # where an empty cell is NULL
+            added = added.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ANNOTATION_COLUMNS if c != "multi_cue"})
         parts.append(ordered(added, F.col("_commit"), F.col("_place")))
     return reduce(DataFrame.unionByName, parts)
 
