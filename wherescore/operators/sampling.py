@@ -65,17 +65,17 @@ def _decide(block: pd.DataFrame) -> pd.DataFrame:
     """What of a block waits for nothing outside it: claims that are taken, and those of coordinates that stay open.
 
     A coordinate takes a claim if no earlier one can still take the image, and if its quota would not be met even if it got
-    all the undecided claims before that one. ``earlier`` is the first open claim on the image from another block.
+    all the undecided claims before that one. ``waits`` tells that another block has an earlier open claim on the image.
     """
     taken: set[str] = set()
     contested: set[str] = set()
     rows: list[tuple] = []
     for (country, ord_), claims in block.sort_values(["ord", "rank"], kind="stable").groupby(["country", "ord"], sort=False, dropna=False):
         quota, got, undecided, rest = int(claims["quota"].iloc[0]), 0, 0, []
-        for rank, id_, earlier in zip(claims["rank"], claims["id"], claims["earlier"], strict=True):
+        for rank, id_, waits in zip(claims["rank"], claims["id"], claims["waits"], strict=True):
             if id_ in taken:
                 continue
-            free = id_ not in contested and not earlier < ord_  # NaN: none
+            free = id_ not in contested and not waits
             if got + undecided < quota and free:
                 taken.add(id_)
                 rows.append((country, ord_, rank, id_, 0, True))
@@ -111,7 +111,7 @@ def take_in_order(claims: DataFrame, per_target: int, block_targets: int = BLOCK
         border = wanted.where(F.size("sides") > 1).select(*_IMAGE, F.slice("sides", 1, 2).alias("sides"))
         mine = F.col("sides")[0]["block"] == F.col("block")
         earlier = F.when(mine, F.col("sides")[1]["first"]).otherwise(F.col("sides")[0]["first"])
-        exchanged = spread_join(state, border, _IMAGE, "left").withColumn("earlier", earlier.cast("double")).drop("sides")
+        exchanged = spread_join(state, border, _IMAGE, "left").withColumn("waits", F.coalesce(earlier < F.col("ord"), F.lit(False))).drop("sides")
         step = settle(exchanged.groupBy("block").applyInPandas(_decide, schema))
         taken = step.where("taken").select(*_CLAIM)
         taken.write.mode("append").parquet(path)
