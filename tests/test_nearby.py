@@ -117,6 +117,23 @@ def test_search_pairs_stay_few(spark):
     assert pairs < 50 * 5000 / 20
 
 
+def test_hot_cell(spark):
+    """Half of all coordinates and features in 64 pixels: pairs follow the coordinates, not the square."""
+    rng = random.Random(2)
+    tx, ty = tile_of(52.5, 13.4)
+
+    def spot(i):
+        return (rng.uniform(128, 191.9), rng.uniform(192, 255.9)) if i % 2 else (rng.uniform(0, 4095), rng.uniform(0, 4095))
+
+    features = [(i, tx, ty, "Point", list(map(float, map(int, spot(i)))), f"i{i}") for i in range(4000)]
+    coords = [(i, *place(tx, ty, *spot(i)), "Japan", "r") for i in range(400)]
+    found = nearby.nearby_topk(spark.createDataFrame(coords, COORDS), spark.createDataFrame(features, FEATURES), 500.0, 5)
+    assert collected(found) == brute(coords, features, 500.0, 5)
+    found.collect()
+    pairs = max(metric_rows(found._jdf.queryExecution().executedPlan(), "Join"))
+    assert pairs < 200 * 2000 / 5
+
+
 def test_known_values(spark):
     row = spark.range(1).select(
         geo.haversine_m(F.lit(52.5), F.lit(13.4), F.lit(52.503), F.lit(13.401)),

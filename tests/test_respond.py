@@ -1,6 +1,8 @@
 import base64
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from wherescore.operators.respond import batch_responses, image_payload
 from wherescore.plans import workflows
@@ -59,7 +61,7 @@ def test_evaluate_resumes(spark, annotations, images, tmp_path):
 
     workflows.evaluate(annotations, images, first, "gpt-4omini", path, pilot=3, backoff_s=0)
     assert sorted(r.id for r in tables.read_done(spark, path).collect()) == ["0", "2"]
-    workflows.evaluate(annotations, images, second, "gpt-4omini", path, backoff_s=0, batches=3)
+    workflows.evaluate(annotations, images, second, "gpt-4omini", path, backoff_s=0, commit_rows=2)
     rows = {r.id: r for r in tables.load_results(spark, path, "parquet").collect()}
     assert set(rows) == set("012345")
     assert {i: r.predicted_country for i, r in rows.items()} == {
@@ -73,6 +75,28 @@ def test_evaluate_resumes(spark, annotations, images, tmp_path):
         workflows.evaluate(annotations, images, second, "unknown", path)
 
 
+def test_killed_run_loses_one_commit(spark, annotations, images, tmp_path):
+    path, paid = str(tmp_path / "results"), tmp_path / "paid"
+    paid.mkdir()
+    many = spark.range(60).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), F.format_string("f%d", "id").alias("filepath"), *[F.lit(x).alias(n) for n, x in (("country", "Japan"), ("cue_type", "linguistic"), ("multi_cue", False), ("cue_notes", ""), ("region", "East Asia"))])
+    pictures = many.select("filepath", F.encode("id", "utf-8").alias("content"))
+
+    def answer(row, dies):
+        (paid / f"{row['id']}-{uuid.uuid4().hex}").touch()
+        if dies and len(list(paid.iterdir())) > 30:
+            raise SystemExit
+        return "COUNTRY: Japan"
+
+    with pytest.raises(Exception):
+        workflows.evaluate(many, pictures, lambda row: answer(row, True), "gpt-4omini", path, commit_rows=10, backoff_s=0)
+    asked, done = [p.name.split("-")[0] for p in paid.iterdir()], {r.id for r in tables.read_done(spark, path).collect()}
+    assert 20 <= len(done) < 60 and len(set(asked) - done) <= 10
+    workflows.evaluate(many, pictures, lambda row: answer(row, False), "gpt-4omini", path, commit_rows=10, backoff_s=0)
+    again = [p.name.split("-")[0] for p in paid.iterdir()]
+    assert all(again.count(i) == 1 for i in done) and len(set(again)) == 60
+    assert sorted(r.id for r in tables.load_results(spark, path, "parquet").collect()) == sorted(map(str, range(60)))
+
+
 def test_analyse(spark, annotations, tmp_path):
     results = spark.createDataFrame([("0", "m", "linguistic", "Japan", True, True)], "id string, model string, cue_type string, true_country string, correct boolean, region_correct boolean")
     found = workflows.analyse(results, annotations)

@@ -14,9 +14,10 @@ from wherescore.sources.scratch import settle
 # Factor on squared distance bounds; far above rounding and the bulge of a great circle.
 _MARGIN = 1.0001
 _TILE = ["tile_x", "tile_y"]
-# Cells have 64 pixels; a cell of level s is 2**s cells wide, so level 6 is a tile.
-_CELL = 64
-_LEVELS = range(7)
+# Cells have 8 pixels; a cell of level s is 2**s cells wide, so level 9 is a tile. At most 64 pixels, each cut to the
+# nearest copies, lie in a cell: a dense place costs no more than its few cells, whatever the tile holds.
+_CELL = 8
+_LEVELS = range(10)
 # Tiles to each side of a tile whose pixel lengths the distance bounds cover, at least.
 _BAND = 8
 # Cosine of the latitude at which the tiles end.
@@ -164,7 +165,8 @@ def nearby_topk(
 
     Work per coordinate does not grow with the tile: copies at one pixel are cut to ``limit`` before
     they are shuffled, and of the remaining features only those in grid cells near enough to matter
-    are paired. A tile that holds much of the data is split by cell, and by adaptive execution.
+    are paired. A place that holds much of the data is split by cells of 8 pixels; the targets of one cell, which
+    all need the same few cells, by adaptive execution.
     """
     band = _band(radius_m, zoom)
     points = point_features(features).where(_in_band("px", band) & _in_band("py", band))

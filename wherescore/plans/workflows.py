@@ -18,7 +18,7 @@ from wherescore.operators.score import score_responses, tag_multicue
 from wherescore.plans.report import printed_tables
 from wherescore.schemas import ANNOTATION_COLUMNS
 from wherescore.sources import tables
-from wherescore.sources.scratch import settle
+from wherescore.sources.scratch import scratch_path, settle
 
 
 def build_annotations(spark: SparkSession, list_path: str, annotations_path: str) -> int:
@@ -75,25 +75,30 @@ def evaluate(
     results_path: str,
     pilot: int | None = None,
     fmt: str = "parquet",
-    batches: int = 20,
+    commit_rows: int = 1000,
     **calls,
 ) -> None:
     """Ask the model about every image that has no result yet and append the scored answers.
 
     ``respond`` is a responder, or one for each provider. Rows whose call failed are not written, so
-    the next run takes them up again. The ids are split into ``batches`` that are committed one after
-    another: an aborted run loses at most one of them.
+    the next run takes them up again. The requests are written once and read as a stream: each
+    micro-batch has at most ``commit_rows`` of them and commits its answers before the next one starts.
+    A run that is killed loses the answers of one micro-batch, however many images are pending, and
+    the next run asks only for what is not committed.
     """
     spark = annotations.sparkSession
     model = model_id(model_key)
     if isinstance(respond, Mapping):
         respond = respond[model_provider(model_key)]
-    work = pending_work(annotations, tables.read_done(spark, results_path, fmt), pilot)
-    # Written once: the images are read once, and a batch does not see what earlier ones have appended.
-    requests = settle(image_payload(work.select(*ANNOTATION_COLUMNS), images))
     calls = {"tasks": spark.sparkContext.defaultParallelism} | calls
-    for batch in range(batches):
-        part = requests if batches == 1 else requests.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+    files = max(1, min(calls["tasks"] or 1, commit_rows))
+    work = pending_work(annotations, tables.read_done(spark, results_path, fmt), pilot)
+    requests = image_payload(work.select(*ANNOTATION_COLUMNS), images)
+    waiting = scratch_path(spark, "requests")
+    # Files of so few rows that a trigger's files never hold more than a commit may lose.
+    requests.write.option("maxRecordsPerFile", max(1, commit_rows // files)).parquet(waiting)
+
+    def commit(part: DataFrame, _: int) -> None:
         answered = batch_responses(part, respond, **calls)
         rows = (
             answered.where(F.col("status") != FAILED)
@@ -103,6 +108,10 @@ def evaluate(
         )
         tables.append_results(score_responses(rows), results_path, fmt)
 
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", files).parquet(waiting)
+    run = stream.writeStream.foreachBatch(commit).trigger(availableNow=True)
+    run.option("checkpointLocation", scratch_path(spark, "progress")).start().awaitTermination()
+
 
 def rescore(
     spark: SparkSession, results_path: str, output_path: str, annotations: DataFrame | None = None, fmt: str = "parquet"
