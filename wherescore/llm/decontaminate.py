@@ -14,8 +14,9 @@ from wherescore.llm.common import ROW_KEY, row_key, whole_text, without
 from wherescore.operators.joins import spread_join
 from wherescore.sources.scratch import settle
 
-#: 1: compared, 0: ignored. One substitution in the inner positions of eight tokens is ignored by one of them.
-MASKS = ("11011011", "10111101", "11100111")
+#: 1: compared, 0: ignored. Whatever tokens are substituted, as long as AGREE of 8 to 16 tokens agree, one of these masks
+#: fits somewhere in them and ignores all substitutions under it; longer overlaps hold such a window.
+MASKS = ("11001011", "10111001", "00011111", "01110110")
 SPAN = 8
 #: Tokens that are compared around a hit, and the share of them that must agree. Shorter items are compared whole.
 WINDOW = 16
@@ -50,6 +51,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     Document and item are aligned at the hit. Some ``window`` aligned tokens that hold the hit (the whole item if it is
     shorter) must lie in both and agree in ``agree`` of their positions. Each alignment is returned once.
     Null and empty texts, and texts or items of fewer than eight tokens, have none; null item ids are kept as such.
+    Rows that repeat are told apart by their keys; no other column of ``docs`` is read.
     """
     seeds = benchmark_seeds(benchmark)
     words = docs.select(*row_key(), "doc_id", tokens(whole_text()).alias("words"))
