@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, for each operator and stage."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,17 @@ def test_personal_data(spark, docs, none):
     assert next(s.score for s in r["phone"]) > 0.5  # "call" stands before it
 
 
+def test_personal_data_of_many_matches(spark):
+    """Places and context words over many runs of matches, with characters of several bytes between them."""
+    plain = "".join(f"é{'mail' if i % 3 else 'xx'} {'—' * (i % 60)} user{i}@host.example 10.0.{i % 300}.1; " for i in range(1000))
+    found = pii.personal_data(spark.createDataFrame([(1, plain)], "doc_id long, text string")).first()
+    emails = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", plain)]
+    assert [(s.start, s.end, s.value) for s in found.email] == emails
+    context = [bool(re.search("mail|contact|write|@", plain[max(0, a - 40) : a].lower())) for a, _, _ in emails]
+    assert [s.score > 0.9 for s in found.email] == context and 0 < sum(context) < 1000
+    assert len(found.ip) == sum(i % 300 <= 255 for i in range(1000))
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>x</title></head><body class='has-sidebar'><header>Site</header><ul class='menu'><li>a<li>b</ul>"

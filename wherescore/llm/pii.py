@@ -1,7 +1,8 @@
 """Personal data: expressions propose spans, checksums confirm them, words nearby adjust their score.
 
 DataFrame operations only. A pattern's matches are found together with the text between them, so that their places
-follow by adding up lengths; places are counted in code points, ends are exclusive.
+follow by adding up lengths, and the last characters read are carried along as context. Places are counted in code
+points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from wherescore.llm.common import whole_text
 #: Characters before a span that are searched for context words, and the score a proposed span needs.
 CONTEXT = 40
 THRESHOLD = 0.5
+_RUN = 128
 _SPAN = "array<struct<start:int,end:int,score:double,value:string>>"
 
 
@@ -77,6 +79,11 @@ MORE = (
 )
 
 
+def _given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, kind: Kind) -> Column:
     """Valid leftmost matches that do not overlap: array of (start, end, score, value)."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -85,14 +92,26 @@ def matches(text: Column, kind: Kind) -> Column:
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        before = F.lower(F.substr(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+        read = F.concat(done["tail"], x["gap"])
+        before = F.lower(F.right(read, F.lit(CONTEXT)))
         scored = F.lit(kind.score) + F.when(before.rlike(kind.words), kind.bonus).otherwise(0.0)
         span = F.struct(start.alias("start"), end.alias("end"), scored.alias("score"), x["m"].alias("value"))
         valid = F.when(x["m"].isNotNull(), kind.valid(x["m"])).otherwise(False)
-        return F.struct(end.alias("at"), F.when(valid, F.array_append(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(parts, empty, step, lambda done: done["spans"])).otherwise(F.array().cast(_SPAN))
+        tail = F.right(F.concat(read, F.coalesce(x["m"], F.lit(""))), F.lit(CONTEXT))
+        spans = F.when(valid, F.array_append(done["spans"], span)).otherwise(done["spans"])
+        return F.struct(end.alias("at"), tail.alias("tail"), spans.alias("spans"))
+
+    def run(done: Column, chunk: Column) -> Column:
+        begin = F.struct(done["at"], done["tail"], F.array().cast(_SPAN).alias("spans"))
+        joined = lambda r: F.struct(r["at"], r["tail"], F.array_append(done["spans"], r["spans"]).alias("spans"))
+        return _given(F.aggregate(chunk, begin, step), joined)
+
+    # Arrays are copied to append to them: runs of matches keep that from growing with the square of their number.
+    count = F.floor((F.size(found) + _RUN) / _RUN).cast("int")
+    runs = _given(parts, lambda all_parts: F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(all_parts, k * _RUN + 1, _RUN)))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    spans = F.aggregate(runs, empty, run, lambda done: F.flatten(done["spans"]))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
