@@ -1,8 +1,9 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped and each block of text is a line. Lines outside the page's content (menus, footers, adverts, forms ...)
-weigh nothing, the others as much as they have characters. Sums over a sliding window of lines rise steeply where the
-article begins and fall to nothing where it ends; the lines between such a surge and its dive are kept.
+Markup is stripped and each block of text is a line. Lines of menus, footers, adverts, forms and the like are left out. The
+others weigh as much as they have characters outside links; a heading, and a line of an element that marks an article,
+weigh more, and other lines of a page with such an element weigh a quarter. Sums over a window of lines surge where an
+article begins and dive to nothing where it ends; the lines between such a surge and its dive are kept.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters in a window from which it counts as a surge, on pages that do not mark their article.
+#: Weight of a window from which it counts as a surge. Headings and lines of a marked article weigh so much more.
 SURGE = 80
+#: Lines outside a marked article weigh this part of their characters, as do links within it.
+PART = 4
+#: On pages without a marked article, so many lines of nothing but links are a menu.
+MENU = 3
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -28,7 +35,8 @@ BLOCKS = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose text is never content.
-DROPPED = frozenset("head nav footer aside form header menu dialog select button textarea datalist label".split())
+DROPPED = frozenset("head nav footer aside form header menu dialog select button textarea datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style title textarea noscript template iframe object svg math canvas xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -45,23 +53,48 @@ _MARKED = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?:$|[\s_-])", re.I)
 _ATTRIBUTE = re.compile(
     r"""[\s/]*+(?:(?P<end>>)|(?P<name>[^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"(?P<double>[^"]*+)"|'(?P<single>[^']*+)'|(?P<bare>[^\s>]*+)))?)"""
 )
-_KIND = re.compile(r"\b(?:class|id|role|hidden)$", re.I)
-#: Names that say what a page lacks or has around its content.
-_ABOUT = re.compile(r"(?:^|\s)(?:no|has|with|without)[-_]\S*", re.I)
+_KIND = re.compile(r"\b(?:class|id|role|hidden|href)$", re.I)
+#: Parts of a page that never hold its article, and that an element like ``<article class="comment">`` may be.
+_STRONG = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|comments?|reply|replies|disqus|related|"
+    r"recommended)(?:$|[\s_-])",
+    re.I,
+)
+#: Names that say what a page lacks or has around its content, whether it takes comments, or that this is an article's own header.
+_ABOUT = re.compile(
+    r"(?:^|\s)(?:(?:no|has|with|without)[-_]\S*|(?:comments?|replies|ads?)[-_](?:open|closed|enabled|disabled|free|on|off)"
+    r"|(?:article|entry|post|story)[-_]header)(?=\s|$)",
+    re.I,
+)
+#: Words that mean another part of a page, but not of an article.
+_OWN = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _SPACE = re.compile(r"\s+")
+_EMPTY_COMMENT = re.compile("<!--(?:-?>)")
+_COMMENT_END = re.compile("--!?>")
 
 
 @dataclass
 class Line:
     text: str
     inside: bool  # of a marked article
-    other: bool  # part of a menu, footer, advert ...
+    other: bool  # part of a menu, footer, advert ... by the name of an element
+    marks: tuple[int, ...]  # the same by class, id or role: numbers of the elements, outermost first
+    heading: bool
+    linked: int  # characters in links
+
 
+class State(NamedTuple):
+    inside: bool = False
+    other: bool = False
+    marks: tuple[int, ...] = ()
+    heading: bool = False
+    link: bool = False
 
-def _attributes(page: str, at: int) -> tuple[int, list[str]]:
-    """Place after the tag whose attributes begin at ``at``, and its values of class, id, role and hidden."""
-    values: list[str] = []
+
+def _attributes(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """Place after the tag whose attributes begin at ``at``, and its attributes that tell the kind of part."""
+    values: dict[str, str] = {}
     while found := _ATTRIBUTE.match(page, at):
         at = found.end()
         if found["end"]:
@@ -69,107 +102,197 @@ def _attributes(page: str, at: int) -> tuple[int, list[str]]:
         if _KIND.search(found["name"]):
             value = next((v for v in found.group("double", "single", "bare") if v is not None), None)
             if value is not None:
-                values.append(value)
+                values.setdefault(found["name"].lower(), value)
     return len(page), values
 
 
-def lines(page: str) -> list[Line]:
-    """Blocks of text in the order of the page."""
-    out: list[Line] = []
-    buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside an article, other part
-    inside = other = False
-
-    def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
-        buffer.clear()
+def _comment_end(page: str, begin: int) -> int:
+    """Place after the comment that begins there; without an end it goes to the end of the page."""
+    short = _EMPTY_COMMENT.match(page, begin)
+    end = short or _COMMENT_END.search(page, begin + 4)
+    return end.end() if end else len(page)
+
+
+class Page:
+    """Blocks of text in the order of the page, and what the elements marked by class, id or role hold."""
+
+    def __init__(self, page: str):
+        self.lines: list[Line] = []
+        self.strong: set[int] = set()  # marked elements that never hold an article
+        self.articles: set[int] = set()  # marked elements that hold an element for articles
+        self.headings: set[int] = set()  # marked elements that hold a heading
+        self._state = State()
+        self._buffer: list[str] = []
+        self._linked = 0
+        self._stack: list[tuple[str, State]] = []  # name, state outside
+        self._opened: Counter[str] = Counter()
+        self._marks = 0
+        self._read(page)
+
+    def _text(self, text: str) -> None:
+        self._buffer.append(text)
+        if self._state.link:
+            self._linked += len(text)
+
+    def _flush(self) -> None:
+        text = _SPACE.sub(" ", html.unescape("".join(self._buffer))).strip()
         if text:
-            out.append(Line(text, inside, other))
-
-    at, size = 0, len(page)
-    opened: Counter[str] = Counter()
-    while at < size:
-        begin = page.find("<", at)
-        if begin < 0:
-            buffer.append(page[at:])
-            break
-        buffer.append(page[at:begin])
-        follow = page[begin + 1 : begin + 2]
-        if page.startswith("<!--", begin):
-            end = page.find("-->", begin + 4)
-            at = end + 3 if end >= 0 else size
-        elif follow in ("!", "?"):
-            end = page.find(">", begin)
-            at = end + 1 if end >= 0 else size
-        elif follow == "/":
-            end = page.find(">", begin)
-            at = end + 1 if end >= 0 else size
-            name = page[begin + 2 : at].rstrip(">").strip().lower()
-            if name in BLOCKS:
-                flush()
-            if opened[name]:
-                if name not in BLOCKS and (inside, other) != _outside(stack, name):
-                    flush()
-                inside, other = _outside(stack, name)
-                while (closed := stack.pop()[0]) != name:
-                    opened[closed] -= 1
-                opened[name] -= 1
-        elif tag := _NAME.match(page, begin + 1):
-            name = tag[0].lower()
-            at, values = _attributes(page, tag.end())
-            if name == "br":
-                buffer.append(" ")
-            if name in BLOCKS:
-                flush()
-            if name in RAW:
-                end = re.compile(f"</{name}", re.I).search(page, at)
-                close = page.find(">", end.end()) if end else -1
-                at = close + 1 if close >= 0 else size
-            elif name not in VOID:
-                if name in ("p", "li") and stack and stack[-1][0] == name:
-                    _, inside, other = stack.pop()
-                    opened[name] -= 1
-                marked = name in DROPPED and not (name == "header" and inside)
-                for value in values:
-                    marked |= bool(_MARKED.search(_ABOUT.sub(" ", value))) and not (name in ("html", "body", "article", "main"))
-                begins = name in ("article", "main") and not other
-                if (marked and not other) or (begins and not inside):
-                    flush()
-                stack.append((name, inside, other))
-                opened[name] += 1
-                inside, other = inside or begins, other or marked
-        else:
-            buffer.append("<")
-            at = begin + 1
-    flush()
-    return out
-
-
-def _outside(stack: list[tuple[str, bool, bool]], name: str) -> tuple[bool, bool]:
-    """State before the innermost open element of that name."""
-    return next((x[1], x[2]) for x in reversed(stack) if x[0] == name)
+            self.lines.append(Line(text, *self._state[:-1], min(self._linked, len(text))))
+        self._buffer.clear()
+        self._linked = 0
+
+    def _close(self, name: str) -> None:
+        if name in BLOCKS:
+            self._flush()
+        if self._opened[name]:
+            outside = next(state for n, state in reversed(self._stack) if n == name)
+            if outside[:-1] != self._state[:-1]:
+                self._flush()
+            self._state = outside
+            while (closed := self._stack.pop()[0]) != name:
+                self._opened[closed] -= 1
+            self._opened[name] -= 1
+
+    def _open(self, name: str, values: dict[str, str]) -> None:
+        if name in ("p", "li", "a") and self._stack and self._stack[-1][0] == name:
+            self._close(name)
+        before = self._state
+        inside, other, marks, heading, link = before
+        begins = name in ("article", "main") or values.get("role", "").strip().lower() in ("article", "main")
+        other |= name in DROPPED and not (name == "header" and inside)
+        words = [_ABOUT.sub(" ", v) for k, v in values.items() if k != "href" and not (name in HEADINGS and k == "id")]
+        if inside:
+            words = [_OWN.sub(" ", w) for w in words]
+        strong = any(map(_STRONG.search, words))
+        if name not in ("html", "body") and (strong or (not begins and any(map(_MARKED.search, words)))):
+            self._marks += 1
+            marks = (*marks, self._marks)
+            if strong:
+                self.strong.add(self._marks)
+        if begins and not other and not strong:
+            inside = True
+            self.articles.update(before.marks)
+        if name in HEADINGS:
+            heading = True
+            self.headings.update(before.marks)
+        state = State(inside, other, marks, heading, link or (name == "a" and "href" in values))
+        if state[:-1] != before[:-1]:
+            self._flush()
+        self._stack.append((name, before))
+        self._opened[name] += 1
+        self._state = state
+
+    def _read(self, page: str) -> None:
+        at, size = 0, len(page)
+        while at < size:
+            begin = page.find("<", at)
+            if begin < 0:
+                self._text(page[at:])
+                break
+            self._text(page[at:begin])
+            follow = page[begin + 1 : begin + 2]
+            if page.startswith("<!--", begin):
+                at = _comment_end(page, begin)
+            elif follow in ("!", "?", "/"):
+                end = page.find(">", begin)
+                at = end + 1 if end >= 0 else size
+                if follow == "/":
+                    self._close(page[begin + 2 : at].rstrip(">").strip().lower())
+            elif tag := _NAME.match(page, begin + 1):
+                name = tag[0].lower()
+                at, values = _attributes(page, tag.end())
+                if name == "br":
+                    self._buffer.append(" ")
+                if name in BLOCKS:
+                    self._flush()
+                if name in RAW:
+                    end = re.compile(f"</{name}", re.I).search(page, at)
+                    close = page.find(">", end.end()) if end else -1
+                    at = close + 1 if close >= 0 else size
+                elif name not in VOID:
+                    self._open(name, values)
+            else:
+                self._text("<")
+                at = begin + 1
+        self._flush()
+
+    def content(self) -> list[Line]:
+        """Lines that are not of other parts.
+
+        A class, id or role may also be that of a wrapper around the whole page. So where all marked articles are in such
+        elements, or no line is left, the elements that hold an article (or else a heading) mark nothing.
+        """
+        free: set[int] = set()
+        left = [x for x in self.lines if not x.other and not x.marks]
+        if not any(x.inside for x in left):
+            wrappers = (self.articles or (set() if left else self.headings)) - self.strong
+            free = wrappers
+        return [x for x in self.lines if not x.other and free.issuperset(x.marks)]
+
+
+def lines(page: str) -> list[Line]:
+    """Blocks of text in the order of the page, without those of other parts."""
+    return Page(page).content()
+
+
+def _weights(found: list[Line]) -> np.ndarray:
+    marked = any(x.inside for x in found)
+    out = []
+    for x in found:
+        plain = len(x.text) - x.linked
+        weight = plain + (SURGE if x.heading and plain else 0)
+        if x.inside:
+            weight = plain + x.linked // PART + (SURGE if plain else 0)
+        elif marked:
+            weight = plain // PART
+        out.append(weight)
+    weights = np.array(out, np.int64)
+    return weights if weights.any() else np.array([len(x.text) for x in found], np.int64)
+
+
+def _without_menus(found: list[Line]) -> list[Line]:
+    if any(x.inside for x in found):
+        return found
+    kept: list[Line] = []
+    for only_links, part in groupby(found, lambda x: x.linked == len(x.text)):
+        part = list(part)
+        if not only_links or len(part) < MENU:
+            kept += part
+    return kept
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's blocks, joined by line feeds; empty if there is none."""
-    found = lines(page)
-    marked = any(x.inside and not x.other for x in found)
-    weights = np.array([0 if x.other or (marked and not x.inside) else len(x.text) for x in found], np.int64)
-    if not weights.any():
+    """The article's blocks, joined by line feeds; empty if there is none.
+
+    The borders of a marked article are those of a stretch; no window reaches beyond them. A surge outside a marked article
+    must also be a quarter of the page's highest one, so that a marked teaser does not hide the text beside it.
+    """
+    found = _without_menus(lines(page))
+    if not found:
         return ""
-    # Sum of the window of lines that is centred on each line.
-    half = window // 2
-    padded = np.concatenate([np.zeros(half + 1, np.int64), np.cumsum(weights), np.full(half, weights.sum())])
-    sums = padded[window:] - padded[:-window]
+    weights = _weights(found)
+    inside = np.array([x.inside for x in found])
+    bounds = [0, *(np.flatnonzero(inside[1:] != inside[:-1]) + 1), len(found)]
+    stretches = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        total = np.concatenate([[0], np.cumsum(weights[a:b])])
+        ends = np.minimum(np.arange(b - a) + window, b - a)
+        stretches.append((a, b, total[ends] - total[:-1]))  # sum of the lines from each one on
+    peak = max(int(sums.max()) for *_, sums in stretches)
     kept: list[str] = []
-    at, least = 0, 1 if marked else min(surge, int(sums.max()))
-    while at < len(found):
-        end = at
-        while end < len(found) and sums[end] > 0:  # up to the dive
-            end += 1
-        if end > at and sums[at:end].max() >= least:  # holds a surge
-            kept += [x.text for x, w in zip(found[at:end], weights[at:end], strict=True) if w]
-        at = end + 1
+    for a, b, sums in stretches:
+        least = min(surge, peak) if inside[a] or not inside.any() else max(surge, peak / PART)
+        at = 0
+        while at < b - a:
+            if sums[at] < least:
+                at += 1
+                continue
+            end = at
+            while end < b - a and sums[end] > 0:  # up to the dive
+                end += 1
+            heavy = np.flatnonzero(weights[a + at : a + end])
+            kept += [x.text for x in found[a + at + heavy[0] : a + at + heavy[-1] + 1]]
+            at = end
     return "\n".join(kept)
 
 
@@ -177,6 +300,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text. Null and empty pages, and pages without text, give an empty text.
 
     Whole pages are read, nothing is cut. Character references are decoded, white space within a block becomes one space.
+    Repeated rows keep a row each, an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
