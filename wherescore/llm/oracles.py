@@ -29,6 +29,69 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+#: 50-byte strings are hexadecimal here; runs that touch are one span.
+REPEATS = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS owner, doc_id, hex(encode(coalesce(text, ''))) AS h,
+         strlen(coalesce(text, ''))::BIGINT AS n
+  FROM documents
+), g AS (
+  SELECT r, owner, i, substr(h, (2 * i + 1)::BIGINT, 100) AS s FROM d, range(0, n - 49) AS t(i)
+), m AS (
+  SELECT s, min(owner) AS least FROM g GROUP BY s HAVING min(owner) <> max(owner)
+), c AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS begins
+  FROM (SELECT r, i FROM g JOIN m USING (s) WHERE owner > least) WINDOW w AS (PARTITION BY r ORDER BY i)
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(begins) OVER (PARTITION BY r ORDER BY i) AS k FROM c) GROUP BY r, k
+), gaps AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans
+), cut AS (
+  SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * z + 1)) AS kept
+  FROM gaps JOIN d USING (r) JOIN (SELECT r, max(b) AS z FROM spans GROUP BY r) USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+#: Pairs come from rare shingles: of two similar lines, the rarest ones of each (a fifth of them and one) share one.
+LINES = """
+WITH RECURSIVE l AS (
+  SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), distinct_lines AS (
+  SELECT line, row_number() OVER (ORDER BY line) AS k FROM (SELECT DISTINCT line FROM l WHERE trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ') <> '')
+), shingles AS (
+  SELECT DISTINCT k, substr(line, i, 5) AS s FROM distinct_lines, range(1, greatest(length(line) - 4, 1) + 1) AS t(i)
+), numbered AS (
+  SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY f, s) AS place, count(*) OVER (PARTITION BY k) AS n
+  FROM shingles JOIN (SELECT s, count(*) AS f FROM shingles GROUP BY s) USING (s)
+), rare AS (
+  SELECT k, s, n FROM numbered WHERE place <= n - ceil(n * 0.8) + 1
+), pairs AS (
+  SELECT DISTINCT a.k AS x, b.k AS y, a.n AS nx, b.n AS ny FROM rare a JOIN rare b ON a.s = b.s AND a.k < b.k
+  WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+), links AS (
+  SELECT x, y FROM pairs JOIN shingles a ON a.k = x JOIN shingles b ON b.k = y AND a.s = b.s
+  GROUP BY x, y, nx, ny HAVING count(*) >= 0.8 * (nx + ny - count(*))
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT k, k AS other FROM distinct_lines UNION SELECT reach.k, y FROM reach JOIN both_ways ON reach.other = x
+), component AS (
+  SELECT k, min(other) AS c FROM reach GROUP BY k
+), placed AS (
+  SELECT doc_id, pos, c, min({'id': doc_id, 'pos': pos}) OVER (PARTITION BY c) AS first
+  FROM l LEFT JOIN distinct_lines USING (line) LEFT JOIN component USING (k)
+)
+SELECT doc_id, pos::INTEGER AS line, CASE WHEN c IS NULL THEN doc_id ELSE first.id END AS keep_doc_id,
+       (CASE WHEN c IS NULL THEN pos ELSE first.pos END)::INTEGER AS keep_line,
+       c IS NULL OR (first.id = doc_id AND first.pos = pos) AS kept
+FROM placed
+"""
+
 #: Documents with the benchmark items they hold. Seeds are token lists here instead of hashes.
 LEAKS = """
 WITH d AS (
@@ -169,7 +232,9 @@ def sql() -> dict[str, str]:
             docs="documents", limit=queries.SHARD_BYTES, columns="leaf.doc_id, ", join=""
         ),
         "op5_decontaminate": leaks("documents"),
+        "op3_suffix_dedup": REPEATS,
         "op4_exact_dedup": EXACT,
+        "op10_fuzzy_lines": LINES,
         "op11_fill_in_middle": MIDDLE,
         "op13_merkle_manifest": merkle(),
     }

@@ -1,8 +1,9 @@
 """Repeated passages removed byte by byte, by bucket-pointer refinement of the positions of all texts.
 
 The order of all suffixes is needed only to 50 bytes, and only where two documents agree. Positions start in the bucket of
-a q-gram; buckets that hold one context are finished; the others are refined by the identifiers of what follows, until
-positions share a bucket exactly if their 50 bytes are the same.
+a q-gram; buckets that hold one context are finished; the others are refined by identifiers of the text around them, until
+positions share a bucket exactly if their 50 bytes are the same. The identifiers are hashes of whole stretches, so there is
+one step of refinement for stretches and one for strings, where the textbook method numbers buckets and goes on recursively.
 
 1. Each 50-byte string is represented by its least q-gram (an anchor). The strings of one anchor are neighbours, so
    one record with the anchor's bucket and the identifier of the whole stretch of text stands for all of them.
