@@ -162,3 +162,23 @@ def test_trie_of_small_numbers(entries, asked):
         model.tuv[a, c] += 1
     model.tv = Counter(c for c, _ in model.c2)
     assert found.tolist() == [model.steps(a, c, b) for c, a, b in asked]
+
+
+def test_parts_do_not_change_scores(spark):
+    """Words, pairs and starts beyond the limit of a cell score as in the plain model, whatever the limit is."""
+    rows = [*make(300, longest=40), *[(5000 + k, "the same words for everyone and the the " + str(k % 9), 1, "s", 2) for k in range(300)]]
+    found, _ = check(spark, rows, cell_tokens=20, shard_tokens=500, chunk_tokens=900)
+    assert found.tries.count() > 10
+
+
+def test_messages_are_shuffled_once(spark):
+    """The exchange of counts between the shards reads the shuffle that the tries are built from."""
+    docs = spark.createDataFrame(make(200), SCHEMA)
+    limits = ngrams.Limits(cell_tokens=20, shard_tokens=500)
+    chunked = ngrams.chunks(docs, ~ngrams.held_out(), limits)
+    model = ngrams.vocabulary(chunked, 200, limits)
+    found = ngrams._answered(ngrams.ngrams(chunked, model, 8), ngrams.replace(model, numbers=None), 8)
+    assert model.parted() and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert "ReusedExchange" in final and final.count("_sent") <= 1 and final.count("FlatMapCoGroupsInArrow") == 2

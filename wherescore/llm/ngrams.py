@@ -2,7 +2,8 @@
 
 Texts become chunks of bounded size. Words are numbered by their counts in training texts; a table of the different counts
 tells the count of a number. Each chunk sends its n-grams to the shards that their contexts belong to, a shard builds the
-trie of all that it gets (see trie.py), answers for each n-gram, and the answers are added up by text.
+trie of all that it gets (see trie.py), answers for each n-gram, and the answers are added up by text. Contexts that are too
+frequent for one shard are dealt out in parts; shards exchange the counts of these first, so scores do not depend on the parts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherescore.llm.common import whole_text
-from wherescore.llm.trie import GRID, PART_BITS, Trie, build, grid, starts_of
+from wherescore.llm.trie import GRID, PART_BITS, Trie, build, grid, starts_of, totals
 from wherescore.operators.joins import spread_join
 from wherescore.operators.prefix import running_sums
 from wherescore.sources.scratch import settle
@@ -32,7 +33,7 @@ FOLDS, HELD_OUT = 7, 2
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes of what one task holds; all but the first two are expectations of balanced hashing. Results depend on the last only."""
+    """Sizes of what one task holds; all but the first two are expectations of balanced hashing. Results do not depend on them."""
 
     chunk_tokens: int = 1 << 20  # a chunk ends after them
     piece_bytes: int = 1 << 20  # a piece of a text ends at the next white space after them
@@ -44,7 +45,7 @@ class Limits:
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _END = b""  # no word is empty
 _PIECE = ("row", "doc_id", "has_id", "train", "tokens", "lead", "mark")
-_TRIE, _SUMS, _PIECES, _NGRAMS = range(4)
+_TRIE, _SUMS, _PIECES, _NGRAMS, _PARTED, _WHOLE = range(6)
 
 
 def held_out() -> Column:
@@ -190,6 +191,14 @@ class Vocabulary:
         found = self.counts[np.searchsorted(self.starts, numbers, "right") - 1]
         return np.where(numbers < self.words, found, np.where(numbers == self.words + 1, self.texts, 0))
 
+    def parts(self, numbers: np.ndarray) -> np.ndarray:
+        """Parts that the n-grams after a word are dealt out in."""
+        return -(-self.count(numbers) // self.limits.cell_tokens)
+
+    def parted(self) -> bool:
+        """Whether any word has several parts."""
+        return max(self.texts, *self.counts[:1]) > self.limits.cell_tokens if len(self.counts) else False
+
     def alone(self) -> Callable[[np.ndarray], np.ndarray]:
         """Probability of words without context: counts plus one."""
         return lambda numbers: (self.count(numbers) + 1) / (self.tokens + self.words + 1)
@@ -269,11 +278,11 @@ def cells(v: np.ndarray, u: np.ndarray, mark: np.ndarray, model: Vocabulary) ->
     """Cell of each n-gram: the word v before w, and a part of v's n-grams.
 
     A word of more than ``cell_tokens`` tokens has parts: by the word u before it, and where u is as frequent too, by the
-    text's hash, so that no word, pair of words or passage, however frequent, is in one place. Parts follow from counts alone.
+    text's hash, so that no word, pair of words or passage, however frequent, is in one place. Parts follow from counts alone;
+    shards add their counts up over the parts (see _parted), so that scores are those of the undivided word.
     """
-    often, limit = model.count(v), model.limits.cell_tokens
-    parts = -(-often // limit)
-    both = -(-np.minimum(model.count(u), often) // limit)
+    parts = model.parts(v)
+    both = np.minimum(model.parts(u), parts)
     part = (_mixed(u) + mark % np.maximum(both, 1)) % np.maximum(parts, 1)
     return (v << PART_BITS) | part
 
@@ -311,7 +320,8 @@ def _sent(chunk: dict, numbers: list[bytes], model: Vocabulary, shards: int) ->
     v, u, w, piece = v[keep], u[keep], own[keep], piece[keep]
     cell, which = np.unique(cells(names[v], names[u], pieces["mark"][piece], model), return_inverse=True)
     shard = _mixed(cell) % shards
-    order = np.argsort(shard, kind="stable")
+    parted = model.parts(cell >> PART_BITS) > 1
+    order = np.lexsort((parted, shard))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     key = (rank[which] << 42) | (u << 21) | w
@@ -321,7 +331,7 @@ def _sent(chunk: dict, numbers: list[bytes], model: Vocabulary, shards: int) ->
     learnt = np.add.reduceat(pieces["train"][piece[by]], first) if len(first) else first
     key, piece = key[by][first], piece[by]
     cell_of, u, w = key >> 42, names[(key >> 21) & ((1 << 21) - 1)], names[key & ((1 << 21) - 1)]
-    runs = np.append(starts_of(shard[order][cell_of]), len(key))
+    runs = np.append(starts_of(shard[order][cell_of], parted[order][cell_of]), len(key))
     ends = np.append(0, np.cumsum(occurrences))
     for a, b in zip(runs[:-1], runs[1:], strict=True):
         here = starts_of(cell_of[a:b])
@@ -331,17 +341,15 @@ def _sent(chunk: dict, numbers: list[bytes], model: Vocabulary, shards: int) ->
             of_cell, np.diff(np.append(here, b - a)), u[a:b][pairs], np.diff(np.append(pairs, b - a)),
             w[a:b], learnt[a:b], occurrences[a:b], piece[ends[a] : ends[b]],
         )
-        yield (int(shard[order][cell_of[a]]), _NGRAMS, chunk["chunk"], payload)
+        yield (int(shard[order][cell_of[a]]), _PARTED if parted[order][cell_of[a]] else _NGRAMS, chunk["chunk"], payload)
 
 
 _MESSAGE = [("shard", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())]
 _MESSAGE_SCHEMA = "shard long, kind int, chunk long, payload binary"
 
 
-def ngrams(chunked: DataFrame, model: Vocabulary) -> DataFrame:
+def ngrams(chunked: DataFrame, model: Vocabulary, shards: int) -> DataFrame:
     """Messages to the shards (shard, kind, chunk, payload): the different n-grams of each chunk with training counts and places."""
-    total = chunked.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // model.limits.shard_tokens))
     known = replace(model, numbers=None)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -353,28 +361,99 @@ def ngrams(chunked: DataFrame, model: Vocabulary) -> DataFrame:
     return own.cogroup(model.numbers.groupBy("chunk")).applyInArrow(run, _MESSAGE_SCHEMA)
 
 
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    return zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "payload")), strict=True)
+
+
+def _entries(sent: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Cell, u, w and training count of all n-grams of some messages."""
+    cell = np.concatenate([np.repeat(m[0], m[1]) for m in sent])
+    u = np.concatenate([np.repeat(m[2], m[3]) for m in sent])
+    return cell, u, *(np.concatenate([m[k] for m in sent]) for k in (4, 5))
+
+
+def _dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(to, kind="stable")
+    cuts = np.append(starts_of(to[order]), len(to))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(to[order[a]]), pack(*(c[order[a:b]] for c in columns))
+
+
+def _parted(model: Vocabulary, groups: int):
+    """Counts that a shard has of parted words: of each successor w, and where u is as frequent too, of each (u, w).
+
+    They are dealt out by (u, v, w) to be added up; a u of -1 stands for any word.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows, shard = [], key[0].as_py()
+        sent = [unpack(payload) for kind, _, payload in _rows(table) if kind == _PARTED]
+        if sent:
+            cell, u, w, learnt = _entries(sent)
+            hot = model.parts(u) > 1
+            twice = lambda x, y: np.concatenate([x, y[hot]])
+            (cell, u, w), (n,), _ = totals((twice(cell, cell), twice(np.full(len(u), -1), u), twice(w, w)), (twice(learnt, learnt),))
+            to = _mixed(_mixed(_mixed(cell >> PART_BITS) + u) + w) % groups
+            rows = [(group, _PARTED, shard, payload) for group, payload in _dealt(to, cell, u + 1, w, n)]
+        return _binary_rows(rows, _MESSAGE)
+
+    return run
+
+
+def _whole(model: Vocabulary, shards: int):
+    """Sums over all shards: of each n-gram, for the shards that have it, and of each context, for all of its parts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lists = [(source, *unpack(payload)) for _, source, payload in _rows(table)]
+        cell, u, w, n = (np.concatenate([x[k] for x in lists]) for k in (1, 2, 3, 4))
+        u = u - 1
+        (v, own_u, _), (sums,), which = totals((cell >> PART_BITS, u, w), (n,))
+        rows, at = [], 0
+        for source, mine, *_ in lists:
+            some = at + np.flatnonzero(sums[which[at : at + len(mine)]])
+            at += len(mine)
+            rows.append((source, _WHOLE, None, pack(cell[some], u[some] + 1, w[some] + 1, sums[which[some]], np.ones(len(some), np.int64))))
+        some = sums > 0
+        (v, own_u), (n, followers), _ = totals((v[some], own_u[some]), (sums[some], np.ones(some.sum(), np.int64)))
+        parts = model.parts(v)
+        spread = np.where(own_u < 0, parts, np.minimum(model.parts(own_u), parts))  # as in cells()
+        of = np.repeat(np.arange(len(v)), spread)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(spread) - spread, spread)
+        part = np.where(own_u[of] < 0, nth, (_mixed(own_u[of]) + nth) % parts[of])
+        cell = (v[of] << PART_BITS) | part
+        columns = (cell, own_u[of] + 1, np.zeros(len(of), np.int64), n[of], followers[of])
+        rows += [(shard, _WHOLE, None, payload) for shard, payload in _dealt(_mixed(cell) % shards, *columns)]
+        return _binary_rows(rows, _MESSAGE)
+
+    return run
+
+
 def _shard(model: Vocabulary):
     """Builds a shard's trie from the training counts of all chunks, and answers each chunk from it."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard, rows, sent = key[0].as_py(), [], []
-        for kind, chunk, payload in zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "payload")), strict=True):
+    def run(key: tuple, table: pa.Table, others: pa.Table | None = None) -> pa.Table:
+        shard, rows, chunk_of, sent = key[0].as_py(), [], [], []
+        for kind, chunk, payload in _rows(table):
             if kind == _PIECES:
                 rows.append((shard, kind, chunk, payload))
             else:
-                sent.append((chunk, *unpack(payload)))
+                chunk_of.append(chunk)
+                sent.append(unpack(payload))
         if sent:
-            cell = np.concatenate([np.repeat(m[1], m[2]) for m in sent])
-            u = np.concatenate([np.repeat(m[3], m[4]) for m in sent])
-            w, learnt = (np.concatenate([m[k] for m in sent]) for k in (5, 6))
-            sent = [(m[0], len(m[5]), m[7].astype(np.int32), m[8].astype(np.int32)) for m in sent]
+            whole = None
+            if others is not None and len(others):
+                cell, u, w, n, followers = (np.concatenate(x) for x in zip(*(unpack(p) for _, _, p in _rows(others)), strict=True))
+                (cell, u, w), (n, followers), _ = totals((cell, u - 1, w - 1), (n, followers))
+                whole = (cell, u, w, n, followers)
+            cell, u, w, learnt = _entries(sent)
+            sent = [(len(m[4]), m[6].astype(np.int32), m[7].astype(np.int32)) for m in sent]
             some = learnt > 0
-            blob = build(cell[some], u[some], w[some], learnt[some], model.alone())
-            del some, learnt
+            blob = build(cell[some], u[some], w[some], learnt[some], model.alone(), whole)
+            del some, learnt, whole
             answers = Trie(blob).score(cell, u, w, model.alone())
             rows.append((shard, _TRIE, None, zstandard.ZstdCompressor(level=3).compress(blob)))
             at = 0
-            for chunk, n, occurrences, piece in sent:
+            for chunk, (n, occurrences, piece) in zip(chunk_of, sent, strict=True):
                 mine = np.repeat(answers[at : at + n], occurrences)
                 at += n
                 touched, where = np.unique(piece, return_inverse=True)
@@ -384,6 +463,17 @@ def _shard(model: Vocabulary):
     return run
 
 
+def _answered(messages: DataFrame, model: Vocabulary, shards: int) -> DataFrame:
+    """Tries and answers of the shards. What they exchange before comes from the same shuffle of the messages, which Spark reuses."""
+    run = _shard(model)
+    if not model.parted():
+        return messages.groupBy("shard").applyInArrow(lambda key, table: run(key, table), _MESSAGE_SCHEMA)
+    groups = -(-shards // 4)  # less than a quarter of what the shards get
+    counts = messages.groupBy("shard").applyInArrow(_parted(model, groups), _MESSAGE_SCHEMA)
+    whole = counts.groupBy("shard").applyInArrow(_whole(model, shards), _MESSAGE_SCHEMA)
+    return messages.groupBy("shard").cogroup(whole.groupBy("shard")).applyInArrow(run, _MESSAGE_SCHEMA)
+
+
 def _added(key: tuple, table: pa.Table) -> pa.Table:
     """Sums of a chunk's pieces over all shards."""
     parts = list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True))
@@ -423,7 +513,9 @@ def score_documents(docs: DataFrame, train: Column | None = None, limits: Limits
     texts = docs.where(learnt).count()
     model = vocabulary(chunked, texts, limits)
     known = replace(model, numbers=None)
-    answered = settle(ngrams(chunked, model).groupBy("shard").applyInArrow(_shard(known), _MESSAGE_SCHEMA))
+    total = chunked.agg(F.sum("length")).first()[0] or 0
+    shards = max(1, -(-total // limits.shard_tokens))
+    answered = settle(_answered(ngrams(chunked, model, shards), known, shards))
     sums = answered.where(F.col("kind").isin(_SUMS, _PIECES)).groupBy("chunk").applyInArrow(_added, _SCORED_SCHEMA)
     per_row = sums.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in _SCORED[3:]])
     rows = per_row.select(

@@ -115,42 +115,59 @@ class Level:
 _SECTIONS = ("cells", "cell_bow", "w_at", "w", "w_p", "u_at", "u", "u_bow", "r_at", "r", "r_p")
 
 
-def build(cell: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, p1) -> bytes:
+def totals(keys: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...], given: int = 0) -> tuple[list, list, np.ndarray]:
+    """Different keys in order, the sum of each one's values, and the group of each row; the values of a key among the
+    first ``given`` rows are its sums already."""
+    order = np.lexsort(keys[::-1])  # stable, so given rows come first
+    first = starts_of(*[k[order] for k in keys])
+    at = order[first]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    sums = [np.where(at < given, v[at], np.add.reduceat(v[order], first)) if len(first) else v for v in values]
+    return [k[at] for k in keys], sums, group
+
+
+def build(cell: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, p1, whole: tuple[np.ndarray, ...] | None = None) -> bytes:
     """The trie of counted (u, cell, w); ``p1`` gives the probability of words without context.
 
     Interpolated absolute discounting: p(w | cell) from the cell's counts and p1, p(w | u, cell) from those and p(w | cell).
+    ``whole`` (cell, u, w, count, followers) has what holds in place of the sums of these rows, for contexts of which other
+    shards have counts too; a u of -1 stands for any word before, a w of -1 for all successors, and followers are the different ones.
     """
-    order = np.lexsort((w, u, cell))
-    cell, u, w, count = cell[order], u[order], w[order], count[order]
-    first = starts_of(cell, u, w)
-    cell, u, w, count = cell[first], u[first], w[first], np.add.reduceat(count, first) if len(first) else count
-    by_w = np.lexsort((w, cell))
-    first = starts_of(cell[by_w], w[by_w])
-    pair_cell, pair_w = cell[by_w][first], w[by_w][first]
-    pair_count = np.add.reduceat(count[by_w], first) if len(first) else count
-    pair = np.empty(len(cell), np.int64)  # of each entry, its pair (cell, w)
-    pair[by_w] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cell))))
-
-    w_at = np.append(starts_of(pair_cell), len(pair_cell))
-    cells = pair_cell[w_at[:-1]]
-    total = np.add.reduceat(pair_count, w_at[:-1]) if len(cells) else pair_count
-    cell_bow = DISCOUNT * np.diff(w_at) / total
-    per_pair = np.repeat(np.arange(len(cells)), np.diff(w_at))
+    cell0, u0, w0, n0, t0 = whole or [np.zeros(0, np.int64)] * 5
+
+    def merged(some: np.ndarray, keys: tuple, values: tuple, own_keys: tuple, own_values: tuple) -> tuple[list, list, np.ndarray]:
+        """Totals, and the group of each own row."""
+        joined = lambda given, own: tuple(np.concatenate([g[some], o]) for g, o in zip(given, own, strict=True))
+        given = int(some.sum())
+        found, sums, group = totals(joined(keys, own_keys), joined(values, own_values), given)
+        return found, sums, group[given:]
+
+    def pointers(group: np.ndarray, n: int) -> np.ndarray:
+        return np.append(0, np.cumsum(np.bincount(group, minlength=n)))
+
+    (cell, u, w), (count,), _ = merged((u0 >= 0) & (w0 >= 0), (cell0, u0, w0), (n0,), (cell, u, w), (count,))
+    (pair_cell, pair_w), (pair_count,), pair = merged((u0 < 0) & (w0 >= 0), (cell0, w0), (n0,), (cell, w), (count,))
+    one = np.ones(len(pair_cell), np.int64)
+    (cells,), (total, followers), per_pair = merged((u0 < 0) & (w0 < 0), (cell0,), (n0, t0), (pair_cell,), (pair_count, one))
+    w_at = pointers(per_pair, len(cells))
+    cell_bow = DISCOUNT * followers / total
     w_p = (pair_count - DISCOUNT) / total[per_pair] + cell_bow[per_pair] * p1(pair_w)
 
-    r_at = np.append(starts_of(cell, u), len(cell))
-    contexts = r_at[:-1]
-    seen = np.add.reduceat(count, contexts) if len(contexts) else count
-    u_bow = DISCOUNT * np.diff(r_at) / seen
-    per_entry = np.repeat(np.arange(len(contexts)), np.diff(r_at))
+    one = np.ones(len(cell), np.int64)
+    (context_cell, context_u), (seen, followers), per_entry = merged(
+        (u0 >= 0) & (w0 < 0), (cell0, u0), (n0, t0), (cell, u), (count, one)
+    )
+    r_at = pointers(per_entry, len(seen))
+    u_at = pointers(np.searchsorted(cells, context_cell), len(cells))
+    u_bow = DISCOUNT * followers / seen
     r_p = (count - DISCOUNT) / seen[per_entry] + u_bow[per_entry] * w_p[pair]
-    u_at = np.append(starts_of(cell[contexts]), len(contexts))
     ranks = pair - w_at[np.searchsorted(cells, cell)] if len(cells) else pair
 
     parts = (
         elias_fano(cells), codes(grid(cell_bow)),
         elias_fano(w_at), elias_fano(rising(pair_w, w_at)), codes(grid(w_p)),
-        elias_fano(u_at), elias_fano(rising(u[contexts], u_at)), codes(grid(u_bow)),
+        elias_fano(u_at), elias_fano(rising(context_u, u_at)), codes(grid(u_bow)),
         elias_fano(r_at), elias_fano(rising(ranks, r_at)), codes(grid(r_p)),
     )
     return struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
