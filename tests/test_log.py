@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wherescore.operators.score import attach_region, score_responses
-from wherescore.plans import workflows
+from wherescore.plans import queries, workflows
 from wherescore.sources import log, tables
+from wherescore.sources.scratch import scratch_path
 from wherescore.streaming import live
 
 
@@ -100,3 +101,34 @@ def test_only_wanted_images_are_read(spark, tmp_path):
             p.chmod(0)
     scan = tables.read_images(spark, str(tmp_path / "data"), wanted=wanted)
     assert scan.rdd.getNumPartitions() <= 2
+
+
+def test_appended_rows_are_dealt_out_before_they_are_sorted(spark, monkeypatch):
+    """No task sorts all rows of a file: the exchange is below both aggregations, and a place does not repeat whole paths."""
+    rows = spark.createDataFrame(
+        [(k, str(k), f"p{k}", "Peru" if k % 9 == 0 else "Japan", "linguistic" if k % 3 == 0 else "infrastructure", False, "", "r") for k in range(90)],
+        "ord long, id string, filepath string, country string, cue_type string, multi_cue boolean, cue_notes string, region string",
+    )
+    monkeypatch.setattr(queries.fx, "annotations", lambda *a: rows)
+    found = queries.registered()["appended_annotations"](spark, "")
+    assert {int(r.id): (r.region, r.commit, r.n_rows) for r in found.collect()} == {
+        k: ("second", 2, 2 + (k % 9 > 0)) if k % 3 else ("first", 1, 2) if k % 9 else ("r", 0, 1) for k in range(90)
+    }
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("Aggregate") < plan.index("Exchange hashpartitioning(id") and plan.count("Exchange hashpartitioning(id") == 1
+    path = scratch_path(spark, "t.csv")
+    for _ in range(2):
+        tables.append_annotations(rows.drop("ord"), path)
+    places = tables.read_annotations(spark, path).where("ord.commit = 1").select("ord.place.file").distinct().collect()
+    assert places and all("/" not in r.file for r in places)
+
+
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A CSV file is read by one task, so a long partition becomes several files, whose rows stay in order."""
+    monkeypatch.setitem(tables.CSV_WRITE, "maxRecordsPerFile", min(tables.CSV_WRITE["maxRecordsPerFile"], 40))
+    path = str(tmp_path / "annotations.csv")
+    tables.append_annotations(annotations(spark, range(200), "old", 1), path)
+    assert len(list((tmp_path / "annotations.csv").glob("part-*.csv"))) == 5
+    rows = tables.read_annotations(spark, path)
+    kept = annotations(spark, range(200), "old", 1).collect()
+    assert [r.id for r in rows.orderBy("ord").collect()] == [r.id for r in kept]

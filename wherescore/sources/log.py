@@ -44,6 +44,12 @@ def row_order() -> Column:
     )
 
 
+def row_place(name: str = "file_path") -> Column:
+    """The same order as a struct, which takes less room; ``file_name`` is enough where all files are in one folder."""
+    _, start, row = file_order()
+    return F.struct(F.col(f"_metadata.{name}").alias("file"), start, row)
+
+
 def log_path(path: str) -> str:
     return f"{path.rstrip('/')}.log"
 
@@ -100,4 +106,4 @@ def read_commits(spark: SparkSession, path: str, state: Committed) -> DataFrame
     rows = spark.read.option("mergeSchema", True).parquet(*[f"{log_path(path)}/data/{folder}" for _, folder in state.commits])
     numbers = spark.createDataFrame([(folder, place) for place, (_, folder) in enumerate(state.commits, 1)], "_folder string, _commit long")
     folder = F.regexp_extract("_metadata.file_path", r"/data/([0-9a-f]{32})/", 1)
-    return rows.select("*", folder.alias("_folder"), row_order().alias("_place")).join(numbers, "_folder").drop("_folder")
+    return rows.select("*", folder.alias("_folder"), row_place("file_name").alias("_place")).join(numbers, "_folder").drop("_folder")

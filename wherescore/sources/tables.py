@@ -18,8 +18,10 @@ from wherescore.sources import log
 
 # Quoted fields may hold line breaks and doubled quotes; blanks belong to the value.
 CSV_READ = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+# Such files cannot be split, so a file has a bounded number of rows.
 CSV_WRITE = {
     "header": True,
+    "maxRecordsPerFile": 1 << 19,
     "quote": '"',
     "escape": '"',
     "ignoreLeadingWhiteSpace": False,
@@ -63,7 +65,7 @@ def read_annotations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
 
     parts = []
     if state.base:
-        parts.append(ordered(base(), F.lit(0).cast("long"), log.row_order()))
+        parts.append(ordered(base(), F.lit(0).cast("long"), log.row_place()))
     added = log.read_commits(spark, path, state)
     if added is not None:
         if fmt == "csv":  # where an empty cell is NULL
