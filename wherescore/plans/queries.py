@@ -515,10 +515,16 @@ def plot_cue_colors(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------------------------
 
 
+#: Files of responses that a stream reads, at most: a micro-batch has a number of files, and costs much besides its rows.
+RESPONSE_FILES, LATER_FILES = 24, 4
+#: Bytes of the row groups in them, so that a micro-batch of one file is read by many tasks.
+ROW_GROUP = 4 << 20
+
+
 def _saved_responses(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
     rows = fx.responses(spark, sf_dir).drop("true_region")
     path = scratch_path(spark, "responses")
-    rows.write.parquet(path)
+    rows.coalesce(RESPONSE_FILES).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return path, rows.schema
 
 
@@ -546,7 +552,8 @@ def stream_accuracy_again(spark, sf_dir):
     """A second stream with a checkpoint of its own on the folder of a first one, which had more micro-batches."""
     path, schema = _saved_responses(spark, sf_dir)
     out, later = scratch_path(spark, "accuracy"), scratch_path(spark, "later")
-    spark.read.schema(schema).parquet(path).where(F.col("ord") % 3 == 0).coalesce(1).write.parquet(later)
+    third = spark.read.schema(schema).parquet(path).where(F.col("ord") % 3 == 0).coalesce(LATER_FILES)
+    third.write.option("parquet.block.size", ROW_GROUP).parquet(later)
     for folder in (path, later):
         scored = live.score_stream(live.read_responses(spark, folder, schema, max_files=1))
         live.write_accuracy(live.live_accuracy(scored), out, scratch_path(spark, "checkpoint")).awaitTermination()
