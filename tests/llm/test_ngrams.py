@@ -182,3 +182,26 @@ def test_messages_are_shuffled_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("Initial Plan")]
     assert "ReusedExchange" in final and final.count("_sent") <= 1 and final.count("FlatMapCoGroupsInArrow") == 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=9), min_size=1, max_size=9))
+def test_steps_within_runs(runs):
+    values = np.concatenate([np.sort(np.array(r, np.int64)) for r in runs])
+    first = np.cumsum([0, *map(len, runs)])[:-1]
+    assert (ngrams.without_steps(ngrams.within(values, first), first) == values).all()
+
+
+def test_words_before_are_sent_as_steps():
+    """A word that follows many others costs less than two bytes for each of these."""
+    n = 20000
+    chunk = ngrams._Chunk()
+    chunk.add((0, 0, 1, 1), 0, [x for k in np.random.default_rng(3).permutation(n) for x in (b"%d" % k, b"the", b"end")], 0)
+    row = chunk.row(0)
+    model = ngrams.Vocabulary(None, np.array([0, 2]), np.array([n, 1]), 3 * n, n + 2, 1, ngrams.Limits())
+    numbers = np.arange(len(chunk.words)) + 1
+    sent = [ngrams.unpack(m[3]) for m in ngrams._sent(row, [ngrams.pack(numbers)], model, 1) if m[1] == ngrams._NGRAMS]
+    assert len(sent) == 1 and len(ngrams.pack(sent[0][2])) < 1.5 * len(sent[0][2])
+    cell, u, w, learnt = ngrams._entries(sent)
+    assert len(cell) == len(np.unique(np.stack([cell, u, w]), axis=1).T) and learnt.sum() == 3 * n
+    assert (np.lexsort((w, u, cell)) == np.arange(len(cell))).all()

@@ -46,6 +46,7 @@ _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _END = b""  # no word is empty
 _PIECE = ("row", "doc_id", "has_id", "train", "tokens", "lead", "mark")
 _TRIE, _SUMS, _PIECES, _NGRAMS, _PARTED, _WHOLE = range(6)
+_LEVEL = 6  # of compression
 
 
 def held_out() -> Column:
@@ -63,7 +64,7 @@ def pack(*arrays: np.ndarray) -> bytes:
             raw = np.diff(raw, prepend=np.uint64(0))
         width = -(-int(raw.max()).bit_length() // 8) if len(raw) else 0
         parts += [struct.pack("<QBB", len(raw), width, steps), raw.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -80,6 +81,19 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return found
 
 
+def within(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Values that rise within each run, as steps from the value before; a run's first one stays. ``first``: where runs begin."""
+    steps = np.diff(values, prepend=0)
+    steps[first] = values[first]
+    return steps
+
+
+def without_steps(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The values that ``within`` has made steps of."""
+    total = np.cumsum(steps)
+    return total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(steps))))
+
+
 def _pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
     """Lower-case words of a text, a bounded stretch at a time."""
     at = 0
@@ -338,7 +352,8 @@ def _sent(chunk: dict, numbers: list[bytes], model: Vocabulary, shards: int) ->
         of_cell = cell[order][cell_of[a:b][here]]
         pairs = starts_of(cell_of[a:b], u[a:b])
         payload = pack(
-            of_cell, np.diff(np.append(here, b - a)), u[a:b][pairs], np.diff(np.append(pairs, b - a)),
+            of_cell, np.diff(np.append(here, b - a)),
+            within(u[a:b][pairs], np.searchsorted(pairs, here)), np.diff(np.append(pairs, b - a)),
             w[a:b], learnt[a:b], occurrences[a:b], piece[ends[a] : ends[b]],
         )
         yield (int(shard[order][cell_of[a]]), _PARTED if parted[order][cell_of[a]] else _NGRAMS, chunk["chunk"], payload)
@@ -367,8 +382,9 @@ def _rows(table: pa.Table) -> Iterator[tuple]:
 
 def _entries(sent: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     """Cell, u, w and training count of all n-grams of some messages."""
+    first = lambda m: np.searchsorted(np.cumsum(m[3]) - m[3], np.cumsum(m[1]) - m[1])  # noqa: E731  pair that a cell begins with
     cell = np.concatenate([np.repeat(m[0], m[1]) for m in sent])
-    u = np.concatenate([np.repeat(m[2], m[3]) for m in sent])
+    u = np.concatenate([np.repeat(without_steps(m[2], first(m)), m[3]) for m in sent])
     return cell, u, *(np.concatenate([m[k] for m in sent]) for k in (4, 5))
 
 
